@@ -27,11 +27,17 @@ def settle(df: DataFrame) -> DataFrame:
     The session's spark.checkpoint.dir holds; only where none is set (tests) a
     temporary folder is made.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for written tables, made if the session has none."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
+    return context.getCheckpointDir()
