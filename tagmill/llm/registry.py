@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from tagmill.llm import q_chat, q_decontaminate, q_mixing, q_sharding, q_token_files
+from tagmill.llm import q_chat, q_decontaminate, q_mixing, q_quality, q_sharding, q_token_files, q_topk
 
-_MODULES = (q_chat, q_sharding, q_decontaminate, q_mixing, q_token_files)
+_MODULES = (q_chat, q_quality, q_sharding, q_decontaminate, q_topk, q_mixing, q_token_files)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
