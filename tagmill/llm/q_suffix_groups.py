@@ -14,9 +14,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (
-  SELECT row, doc_id, i, substr(h, 2 * i + 1, 100) AS g
-  FROM (SELECT row, doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) AS i FROM d WHERE len(h) >= 100)
+pieces AS (
+  SELECT row, doc_id, 100 * k AS base, substr(h, 200 * k + 1, 298) AS piece
+  FROM (SELECT row, doc_id, h, unnest(generate_series(0, (len(h) // 2 - 50) // 100)) AS k FROM d WHERE len(h) >= 100)
+), w AS (
+  SELECT row, doc_id, base + r AS i, substr(piece, 2 * r + 1, 100) AS g
+  FROM (SELECT *, unnest(generate_series(0, least(99, len(piece) // 2 - 50))) AS r FROM pieces)
 ), first AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING count(*) > 1),
 hit AS (SELECT row, i FROM w JOIN first USING (g) WHERE least < doc_id),
 seq AS (
