@@ -63,11 +63,17 @@ def draw(key: Column, seed: int) -> Column:
     return (F.conv(hexed, 16, 10).cast("long") + 1).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", quality: str | None = None, weights=cycle_weights, most: int = MOST, seed: int = 8, cells: int = CELLS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and text_hash of every row."""
-    worth = F.col(quality).cast("double") if quality else F.lit(1.0)
-    worth = F.when((worth > 0) & (worth < float("inf")), worth).otherwise(1.0)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (-F.log(draw(F.col(key), seed)) / worth).alias("es_key"), F.xxhash64(text).alias("text_hash"))
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", quality: DataFrame | None = None, weights=cycle_weights, most: int = MOST, seed: int = 8, cells: int = CELLS) -> DataFrame:
+    """doc_id, size, source_size, target, taken and text_hash of every row.
+
+    ``quality`` has a sampling weight by doc_id, 1 where it has no row.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    worth = F.lit(1.0)
+    if quality is not None:
+        rows = rows.join(quality.select(F.col("doc_id").alias("q_"), F.col("quality").cast("double").alias("worth")).dropDuplicates(["q_"]), F.col("doc_id") == F.col("q_"), "left").drop("q_")
+        worth = F.when((F.col("worth") > 0) & (F.col("worth") < float("inf")), F.col("worth")).otherwise(1.0)
+    rows = rows.withColumn("es_key", -F.log(draw(F.col("doc_id"), seed)) / worth).drop("worth")
     # a cell holds a range of keys: 1 - exp(-key) is even for weight 1
     rows = settle(rows.withColumn("cell", F.least(F.floor((1 - F.exp(-F.col("es_key"))) * cells), F.lit(cells - 1)).cast("int")))
     by_cell = rows.groupBy("source", "cell").agg(F.sum("size").alias("size"))

@@ -12,16 +12,15 @@ from tagmill.llm.common import table
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 
 
-def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the sampling weight ``quality_`` from the labels, one per id."""
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("l")).agg(F.max("quality").alias("q"))
-    weight = F.when(F.col("q") == 1, GOOD).when(F.col("q") == 0, BAD).otherwise(UNKNOWN)
-    return docs.join(labels, F.col("doc_id") == F.col("l"), "left").select(*docs.columns, weight.alias("quality_"))
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and sampling weight of the labelled documents."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    return labels.select("doc_id", F.when(F.col("q") == 1, GOOD).when(F.col("q") == 0, BAD).otherwise(UNKNOWN).alias("quality"))
 
 
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text"))
-    out = mixing.mix(with_quality(spark, docs, sf_dir), quality="quality_")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, quality=quality_weights(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
