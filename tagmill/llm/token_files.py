@@ -15,8 +15,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from tagmill.llm.common import shared_folder, text_batches
 END_ID = 2
 BLOCK_IDS = 1 << 17
 #: Words whose ids a task remembers.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 #: Bytes of text a shard has, about.
 SHARD_BYTES = 32 << 20
 BLOCKS = "part int, block int, first long, n_ids long, width int, doc_ids array<long>, counts array<int>, packed binary"
@@ -68,16 +71,30 @@ class WordCache(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+
+    @staticmethod
+    def of_worker(path: str) -> "WordCache":
+        """The cache that this Python worker keeps from task to task."""
+        home = sys.modules.setdefault("_tagmill_words", types.ModuleType("_tagmill_words"))
+        if getattr(home, "path", None) != path:
+            home.path, home.words = path, WordCache(path)
+        return home.words
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[chunk] = out = self.whole(chunk)
+        if chunk.isascii() and "<" not in chunk and (low := chunk.lower()) != chunk:
+            out = self[low]  # the tokenizer lower-cases
+        elif chunk[-1] in ".,;:!?" and (last := chunk[-2:-1]).isalpha() and last < "\u0250" and last != "\u0130":
+            out = self[chunk[:-1]] + self[chunk[-1]]  # and parts letters from marks
+        else:
+            out = self.whole(chunk)
+        self[chunk] = out
         return out
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. The tokenizer drops white space and splits at it, so chunks are encoded apart.
@@ -99,7 +116,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def encode(batches):
-        cache, part, block, first = WordCache(tokenizer_path), None, 0, 0
+        cache, part, block, first = WordCache.of_worker(tokenizer_path), None, 0, 0
         ids, names, counts, held = [], [], [], 0
         end = np.array([end_id], "<u4").tobytes()
 
