@@ -436,7 +436,10 @@ query("g2_dominant_genes", f"WITH {READS_SQL}, {_EXPR_SQL}, t AS (SELECT cell, g
 
 
 # pipelines
-@query("k1_standard", f"WITH RECURSIVE {_SQL['directional'].replace('gene', 'permcond')} SELECT permcond // 100 AS permutation, permcond % 100 AS condition, count(*) FILTER (node = rep) AS dedup_cnt FROM assigned GROUP BY permcond".replace("l_suppkey AS permcond", "(l_orderkey % 7) * 100 + l_partkey % 50 AS permcond"))
+_K1 = _SQL["directional"].replace("gene", "pc").replace("l_suppkey AS pc", "(l_orderkey % 7) * 100 + l_partkey % 50 AS pc").replace("pcrate_series", "generate_series")
+
+
+@query("k1_standard", f"WITH RECURSIVE {_K1} SELECT pc // 100 AS permutation, pc % 100 AS condition, count(*) FILTER (node = rep) AS dedup_cnt FROM assigned GROUP BY pc")
 def k1(s, d):
     r = reads(s, d).withColumn("permutation", F.col("cell")).withColumn("condition", F.col("pos"))
     return pipeline.standard(r.select("id", "umi", "permutation", "condition"))
