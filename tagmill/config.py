@@ -25,34 +25,35 @@ def _value(text: str):
     return text
 
 
-def parse(text: str) -> dict:
-    """Nested mappings and lists of scalars of an indented parameter file; the string None is null."""
-    root: dict = {}
-    stack: list[tuple[int, object, object, str | None]] = [(-1, root, None, None)]
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        depth, body = len(line) - len(line.lstrip()), line.strip()
-        is_item = body == "-" or body.startswith("- ")
-        while stack[-1][0] > depth or stack[-1][0] == depth and not (is_item and isinstance(stack[-1][1], list)):
-            stack.pop()
-        level, holder, parent, name = stack[-1]
-        if is_item:
-            if not isinstance(holder, list):
-                new: list = []
-                parent[name] = new
-                stack[-1] = (level if level >= 0 else depth, new, parent, name)
-                holder = new
-            holder.append(_value(body[1:]))
-            continue
-        key, _, rest = body.partition(":")
+def _is_item(body: str) -> bool:
+    return body == "-" or body.startswith("- ")
+
+
+def _mapping(lines: list[tuple[int, str]], at: int) -> tuple[dict, int]:
+    """The mapping that starts at a line, and the line after it."""
+    out, depth = {}, lines[at][0]
+    while at < len(lines) and lines[at][0] == depth and not _is_item(lines[at][1]):
+        key, _, rest = lines[at][1].partition(":")
+        at += 1
         if rest.strip():
-            holder[key.strip()] = _value(rest)
+            out[key.strip()] = _value(rest)
+        elif at < len(lines) and lines[at][0] >= depth and _is_item(lines[at][1]):
+            items, own = [], lines[at][0]
+            while at < len(lines) and lines[at][0] == own and _is_item(lines[at][1]):
+                items.append(_value(lines[at][1][1:]))
+                at += 1
+            out[key.strip()] = items
+        elif at < len(lines) and lines[at][0] > depth:
+            out[key.strip()], at = _mapping(lines, at)
         else:
-            child: dict = {}
-            holder[key.strip()] = child
-            stack.append((depth + 1, child, holder, key.strip()))
-    return root
+            out[key.strip()] = None
+    return out, at
+
+
+def parse(text: str) -> dict:
+    """Nested mappings and lists of scalars of an indented parameter file; the string None is null."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    return _mapping(lines, 0)[0] if lines else {}
 
 
 @dataclass(frozen=True)

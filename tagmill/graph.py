@@ -48,15 +48,36 @@ def _contract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], ["src", "dst"])
 
 
+#: Contracted edges up to this number (16 bytes each) are finished in one task.
+ONE_TASK_EDGES = 1 << 21
+
+
+def _finish(batches):
+    """(node, component) of all edges that come to this task."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if parts:
+        node, low = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (src, dst: long).
 
+    Edges are contracted to local stars first. What is left is finished in one task if its
+    checked number is small, else by rounds.
+
     Each round hooks every node to its smallest neighbour, follows the hooks once and
     renames the edges' ends; inner edges vanish. Nodes without an edge to another node
     don't appear. Hubs are summed before they are dealt out and their joins can be split.
     """
     edges = edges.select("src", "dst").where("src <> dst").mapInArrow(_contract, "src long, dst long").distinct()
     edges = settle(edges)
+    if edges.count() <= ONE_TASK_EDGES:
+        return settle(edges.coalesce(1).mapInArrow(_finish, "node long, component long"))
+    return _by_rounds(edges)
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
     names = None  # node -> current name
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
