@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
     return context.getCheckpointDir()
+
+
+def settle_table(df: DataFrame) -> DataFrame:
+    """Like ``settle``, as a compressed Parquet table in the shared folder: for wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage, so that Spark removes the shuffle files of steps that are settled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -37,17 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagmill.graph import components
-from tagmill.llm.common import settle, text_batches
+from tagmill.llm.common import release, settle, settle_table, text_batches
 
 N = 5
 PERCENT = 80
 #: Text bytes whose n-grams make a block of the isolation step.
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 64 << 20
 #: N-grams that a task of the tree step holds of either side.
 LIMIT = 2 << 20
 #: Entries of the table of frequent n-grams, and the least count of one.
 FREQUENT, FREQUENT_LEAST = 300_000, 16
-FILTER_BITS = 1 << 24
+#: Most bits of the bitmap of nodes that are left; with too many nodes it lets others through, which costs but harms nothing.
+FILTER_BITS = 1 << 28
 LEAF, FAN = 16, 8
 FLUSH = 1 << 20
 
@@ -65,7 +66,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -155,35 +156,57 @@ def _deal(n: int, blocks: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Nodes of a block and how many of their n-grams another node has too."""
+def _shared(blocks: int):
+    """Nodes of a block and how many of their n-grams another node has too, packed by the nodes' own blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, found = _count_shared(table)
+        block = names % blocks
+        rows = [(int(b), names[block == b].tobytes(), found[block == b].astype(np.uint32).tobytes()) for b in np.unique(block)]
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table({"block": pa.array(cols[0], pa.int32()), "nodes": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    names, at = np.unique(nodes, return_inverse=True)
+    return pa.table({"node": pa.array(names), "shared": pa.array(np.bincount(at, counts, len(names)).astype(np.int64))})
+
+
+def _count_shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = {c: table.column(c).to_pylist() for c in ("nodes", "counts", "tokens")}
     nodes = np.concatenate([np.frombuffer(x, np.int64) for x in parts["nodes"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in parts["counts"]])
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in parts["tokens"]])
     names, at = np.unique(nodes, return_inverse=True)
-    pairs = np.unique(tokens.astype(np.uint64) << np.uint64(32) | np.repeat(at, counts).astype(np.uint64))
-    token = pairs >> np.uint64(32)
-    same = np.flatnonzero(token[1:] == token[:-1])
-    hit = np.zeros(len(pairs), bool)
-    hit[same] = hit[same + 1] = True
-    found = np.bincount((pairs[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+    owner, found = np.repeat(at.astype(np.uint32), counts), np.zeros(len(names), np.int64)
+    for part in range(8):  # an eighth of the hashes at a time bounds what is sorted at once
+        own = tokens >> np.uint32(29) == part
+        pairs = np.unique(tokens[own].astype(np.uint64) << np.uint64(32) | owner[own])
+        token = pairs >> np.uint64(32)
+        same = np.flatnonzero(token[1:] == token[:-1])
+        hit = np.zeros(len(pairs), bool)
+        hit[same] = hit[same + 1] = True
+        found += np.bincount((pairs[hit] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
     keep = found > 0
-    return pa.table({"node": pa.array(names[keep]), "shared": pa.array(found[keep], pa.int64())})
+    return names[keep], found[keep]
 
 
-def _bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bitmap of hashed values: tells values that are surely absent."""
-    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def _bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of hashed values: tells values that are surely absent."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
     rows = df.select((at / 32768).cast("int").alias("b"), (at % 32768).cast("int").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r["b"]] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out.ravel()
 
 
 def _sets(n: int, shared):
-    """Node, id and set of the documents that the bitmap lets through."""
+    """Node, size and set of the documents that the bitmap lets through."""
 
     def run(batches):
         cache, bitmap = WordHashes(), shared.value
@@ -194,36 +217,39 @@ def _sets(n: int, shared):
             for i in keep.tolist():
                 tokens = shingles(batch.column(2)[i].as_py(), cache, n)
                 if len(tokens):
-                    rows.append((_node(tokens), batch.column(0)[i].as_py(), tokens.tobytes()))
+                    rows.append((_node(tokens), len(tokens), tokens.tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "n", "tokens"])
 
     return run
 
 
-def _count_tokens(blocks: int):
-    """N-grams of a batch of sets with their counts, dealt into blocks."""
+def _brief(tokens: np.ndarray) -> np.ndarray:
+    """Four bytes of n-gram hashes; their counts order the n-grams."""
+    return (tokens >> np.uint64(8)).astype(np.uint32)
+
+
+def _deal_brief(blocks: int):
+    """Brief hashes of a batch of sets, dealt into blocks."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                tokens, count = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
-                block = ((tokens >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
-                rows = [(b, tokens[block == b].tobytes(), count[block == b].astype(np.uint32).tobytes()) for b in range(blocks)]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "tokens", "counts"])
+                brief = _brief(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64))
+                block = brief % np.uint32(blocks)
+                order = np.argsort(block, kind="stable")
+                cut = np.searchsorted(block[order], np.arange(blocks + 1))
+                brief = brief[order]
+                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([brief[cut[b] : cut[b + 1]].tobytes() for b in range(blocks)], pa.binary())], ["block", "tokens"])
 
     return run
 
 
 def _frequent(table: pa.Table) -> pa.Table:
-    tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-    names, at = np.unique(tokens, return_inverse=True)
-    total = np.bincount(at, counts, len(names)).astype(np.int64)
+    names, total = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]), return_counts=True)
     keep = np.flatnonzero(total >= FREQUENT_LEAST)
     keep = keep[np.argsort(-total[keep], kind="stable")][:FREQUENT]
-    return pa.table({"token": pa.array(names[keep].view(np.int64)), "count": pa.array(total[keep])})
+    return pa.table({"token": pa.array(names[keep].astype(np.int64)), "count": pa.array(total[keep], pa.int64())})
 
 
 def _prefixes(percent: int, blocks: int, shared):
@@ -235,8 +261,9 @@ def _prefixes(percent: int, blocks: int, shared):
             nodes, tokens = [], []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(raw, np.uint64)
-                place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                weight = np.where(known[place] == own, count[place], 0) if len(known) else np.zeros(len(own), np.int64)
+                brief = _brief(own)
+                place = np.minimum(np.searchsorted(known, brief), max(len(known) - 1, 0))
+                weight = np.where(known[place] == brief, count[place], 0) if len(known) else np.zeros(len(own), np.int64)
                 first = np.lexsort((own, weight))[: slack(len(own), percent) + 1]
                 tokens.append(own[first])
                 nodes.append(np.full(len(first), name, np.int64))
@@ -351,6 +378,8 @@ def _join_group(percent: int):
         sets = [np.frombuffer(t, np.uint64) for t in tokens]
         least = np.array([s[0] for s in sets], np.uint64)
         order = np.lexsort((node, [len(s) for s in sets], least, unit))
+        # a node may have come twice: repeated rows, or copies that the bitmap let through
+        order = order[np.concatenate(([True], (np.diff(unit[order]) != 0) | (np.diff(node[order]) != 0)))] if len(order) else order
         src, dst = [], []
         cut = np.flatnonzero(np.concatenate(([True], np.diff(unit[order]) != 0, [True])))
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -367,26 +396,23 @@ def _join_group(percent: int):
     return run
 
 
-def _units(sets: DataFrame, limit: int) -> DataFrame:
-    """Deal clusters into tasks: unit, side, node, tokens. ``sets`` has cluster, node, n, tokens."""
-    whole = sets.groupBy("cluster").agg(F.sum("n").alias("all"), F.count("*").alias("members")).where("members > 1")
-    rows = sets.join(whole, "cluster")
-    small = rows.where(F.col("all") <= limit).select(F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"), "node", "tokens")
+def _units(nodes: DataFrame, limit: int) -> DataFrame:
+    """Deal clusters into tasks: unit, side, node. ``nodes`` has cluster, node, n."""
+    whole = nodes.groupBy("cluster").agg(F.sum("n").alias("all"), F.count("*").alias("members")).where("members > 1")
+    rows = nodes.join(whole, "cluster")
+    small = rows.where(F.col("all") <= limit).select(F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"), "node")
     large = rows.where(F.col("all") > limit).withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int"))
     # bands next to each other can hold links (up to two, as logs are rounded); blocks cut a band
     bands = large.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))
     large = large.join(bands, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = [bands.select("cluster", (F.col("band") + d).alias("band"), F.col("blocks").alias("other"), F.lit(-d).alias("step")) for d in (-2, -1, 0, 1, 2)]
-    other = near[0]
-    for x in near[1:]:
-        other = other.unionByName(x)
-    pairs = large.join(other, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    near = bands.select("cluster", F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("d"), F.col("band").alias("own"), F.col("blocks").alias("other"))
+    near = near.select("cluster", (F.col("own") + F.col("d")).alias("band"), "other", (-F.col("d")).alias("step"))
+    pairs = large.join(near, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
     # a unit is named by its lower block first
     mine, yours = F.struct(F.col("band").alias("b"), F.col("block").alias("k")), F.struct((F.col("band") + F.col("step")).alias("b"), F.col("j").alias("k"))
     low, high = F.least(mine, yours), F.greatest(mine, yours)
     side = F.when(mine == yours, 0).when(mine < yours, 2).otherwise(3)
-    split = pairs.select(F.xxhash64("cluster", low, high).alias("unit"), side.alias("side"), "node", "tokens")
-    return small.unionByName(split)
+    return small.unionByName(pairs.select(F.xxhash64("cluster", low, high).alias("unit"), side.alias("side"), "node"))
 
 
 def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, limit: int = LIMIT, block_text: int = BLOCK_TEXT) -> DataFrame:
@@ -399,28 +425,31 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, total // block_text)
     dealt = rows.select("text").mapInArrow(_deal(n, blocks), "block int, nodes binary, counts binary, tokens binary")
-    shared = dealt.groupBy("block").applyInArrow(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("block").applyInArrow(_shared(blocks), "block int, nodes binary, counts binary").groupBy("block").applyInArrow(_sum_shared, "node long, shared long")
     may_lack = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
     left = nodes.join(shared, "node", "left").where((F.col("sampled") - F.coalesce("shared", F.lit(0)) <= may_lack)).select("node", "least", "n")
     left = settle(left)
-    bitmap = spark.sparkContext.broadcast(_bitmap(left, "least"))
-    hashed = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"), "text")
-    found = hashed.mapInArrow(_sets(n, bitmap), "node long, doc_id long, tokens binary")
-    # repeated rows of a representative are one node
-    sets = settle(found.join(left.withColumnRenamed("node", "own"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "n", "tokens").dropDuplicates(["node"]))
-    entries = left.agg(F.sum("n")).first()[0] or 0
+    del dealt, shared
+    release(spark)
+    count, entries = left.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(FILTER_BITS, max(1 << 20, 1 << (16 * count).bit_length()))
+    bitmap = spark.sparkContext.broadcast(_bitmap(left, "least", bits))
+    hashed = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"), "text")
+    # the bitmap lets a few other nodes through; they cost a comparison and link with nothing
+    sets = settle_table(hashed.mapInArrow(_sets(n, bitmap), "node long, n long, tokens binary"))
     blocks = max(1, entries // (2 << 20))
-    counted = sets.select("tokens").mapInArrow(_count_tokens(blocks), "block int, tokens binary, counts binary").groupBy("block").applyInArrow(_frequent, "token long, count long")
+    counted = sets.select("tokens").mapInArrow(_deal_brief(blocks), "block int, tokens binary").groupBy("block").applyInArrow(_frequent, "token long, count long")
     top = counted.orderBy(F.col("count").desc(), "token").limit(FREQUENT).collect()
-    known = np.array([r["token"] for r in top], np.int64).view(np.uint64)
+    known = np.array([r["token"] for r in top], np.int64).astype(np.uint32)
+    del counted
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], np.array([r["count"] for r in top], np.int64)[order]))
     met = settle(sets.select("node", "tokens").mapInArrow(_prefixes(percent, blocks, frequent), "block int, a binary, b binary"))
     stars = met.where("block = -1").select("a", "b").mapInArrow(_unpack, "src long, dst long").unionByName(met.where("block >= 0").groupBy("block").applyInArrow(_meet, "src long, dst long"))
     clusters = components(stars)
-    units = _units(sets.join(clusters, "node").withColumnRenamed("component", "cluster"), limit)
+    units = _units(sets.select("node", "n").distinct().join(clusters, "node").withColumnRenamed("component", "cluster"), limit)
     groups = max(1, entries // limit)
-    keyed = units.withColumn("group", F.when(F.col("side") >= 2, F.col("unit")).otherwise(F.pmod("unit", F.lit(groups))))
+    keyed = units.withColumn("group", F.when(F.col("side") >= 2, F.col("unit")).otherwise(F.pmod("unit", F.lit(groups)))).join(sets.select("node", "tokens"), "node")
     links = keyed.groupBy("group").applyInArrow(_join_group(percent), "src long, dst long")
     joined = components(links)
     names = joined.join(nodes.select("node", "least"), "node")
