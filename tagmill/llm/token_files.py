@@ -65,13 +65,22 @@ def unpack(packed: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
+_PRINTABLE = [b for r in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)) for b in range(*r)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordCache(dict):
-    """Ids of white-space-free chunks, as little-endian 32-bit bytes, encoded on first sight."""
+    """Ids of white-space-free chunks, as little-endian 32-bit bytes, encoded on first sight.
+
+    Two generations of chunks are held; a chunk used again moves to the younger one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.path, self.tokenizer, self.old = path, Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
 
     @staticmethod
     def of_worker(path: str) -> "WordCache":
@@ -82,17 +91,26 @@ class WordCache(dict):
         return home.words
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.old.get(chunk)
+        if out is None:
+            out = self._new(chunk)
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        if chunk.isascii() and "<" not in chunk and (low := chunk.lower()) != chunk:
-            out = self[low]  # the tokenizer lower-cases
-        elif chunk[-1] in ".,;:!?" and (last := chunk[-2:-1]).isalpha() and last < "\u0250" and last != "\u0130":
-            out = self[chunk[:-1]] + self[chunk[-1]]  # and parts letters from marks
-        else:
-            out = self.whole(chunk)
         self[chunk] = out
         return out
 
+    def _new(self, chunk: str) -> bytes:
+        """Short cuts hold for Latin letters to U+024F, which keep their form when normalised; all else is encoded whole."""
+        if max(chunk) < "\u0250" and "\u0130" not in chunk and "<" not in chunk:
+            if (low := chunk.lower()) != chunk:
+                return self[low]  # the tokenizer lower-cases
+            if chunk.isalpha():  # one word: straight to its merges
+                return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+            if chunk[-1] in ".,;:!?" and chunk[-2:-1].isalpha():
+                return self[chunk[:-1]] + self[chunk[-1]]  # marks are words of their own
+        return self.whole(chunk)
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
