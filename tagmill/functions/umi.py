@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,7 +178,3 @@ def number_to_umi(k: Column, length: int) -> Column:
     """Barcode whose i-th base is the i-th base-4 digit of ``k``, lowest first."""
     digit = lambda i: F.pmod(F.floor(k / float(4**i)).cast("long"), F.lit(4)).cast("int") + 1
     return F.concat(*(F.substr(F.lit(BASES), digit(i), F.lit(1)) for i in range(length)))
-
-
-def log_factorial(n: int) -> float:
-    return math.lgamma(n + 1)
