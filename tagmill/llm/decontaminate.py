@@ -16,7 +16,6 @@ by ``scan``. With more than one block the documents are told apart by (id, text
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -157,9 +156,6 @@ def report(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_runs") > 0).alias("contaminated"))
 
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
 def remove(docs: DataFrame, items: DataFrame, *, text: str = "text", n: int = N, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without the hit spans; those whose hit words reach ``drop_share`` go whole.
 
@@ -200,7 +196,3 @@ def remove(docs: DataFrame, items: DataFrame, *, text: str = "text", n: int = N,
 
         out = out.mapInArrow(cut, schema)
     return out
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
