@@ -3,7 +3,7 @@
 A byte goes if it is covered by a string of ``length`` bytes that also starts in a
 document with a smaller id.
 
-1. Every window of ``length`` bytes names its smallest 8-byte gram (by hash, leftmost of
+1. Every window of ``length`` bytes names its smallest GRAM-byte gram (by hash, leftmost of
    equals); windows in a row with the same one form a segment. Equal windows name equal
    grams, so the segments of one gram are a family, and no window need be compared
    outside its family. Families are dealt by hash into blocks: four hash bytes of the
@@ -11,7 +11,7 @@ document with a smaller id.
 2. A family of one document has nothing to remove. If all of a family's segments are the
    same bytes (inside a copied passage), each window's first document is the family's
    smallest. Families with different segments (at the edges of passages) are open.
-3. Open families' segments are put in one text and its suffix array is built in linear
+3. Windows of open families whose hash another document has too are put in one text and its suffix array is built in linear
    time: suffixes are grouped by first byte; groups are processed from the largest down,
    each suffix finds its previous smaller one, whose Lyndon prefix grows by the group's
    as often as the group follows; then one pass from the smallest suffix up emits each
@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import settle, text_batches
+from tagmill.llm.common import release, settle, settle_table, text_batches
 
 LENGTH = 50
-GRAM = 8
+#: Bytes of the grams that name families: longer ones are shared by chance less often, but cut texts finer.
+GRAM = 24
 CHUNK = 1 << 20
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 64 << 20
 FILTER_BITS = 1 << 24
 FLUSH = 1 << 20
 GROUPS_TEXT = 1 << 20
@@ -177,10 +178,9 @@ class Segments:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def _chunk(self, b: np.ndarray, base: int):
-        gram = np.zeros(len(b) - GRAM + 1, np.uint64)
-        for k in range(GRAM):
-            gram |= b[k : k + len(gram)].astype(np.uint64) << np.uint64(8 * k)
-        gram = _mixed(gram)
+        self._powers(len(b) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * self.power[: len(b)], dtype=np.uint64)))
+        gram = _mixed((sums[GRAM:] - sums[:-GRAM]) * self.inverse[: len(b) - GRAM + 1])
         # hash above, place below: the least is the leftmost of equal hashes
         low = (gram & ~np.uint64((1 << 21) - 1)) | np.arange(len(gram), dtype=np.uint64)
         width, span = self.length - GRAM + 1, 1
@@ -193,8 +193,6 @@ class Segments:
         place = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         end = np.append(start[1:], len(place)) + self.length - 1
-        self._powers(len(b) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * self.power[: len(b)], dtype=np.uint64)))
         digest = _mixed((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
         return start + base, end + base, gram[place[start]], digest
 
@@ -245,8 +243,42 @@ def _deal(length: int, blocks: int):
     return run
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """For each text of a block, which of its segments go whole and which families are open."""
+def _judge(homes: int):
+    """For each text of a block, which of its segments go whole and which families are open, packed by the texts' homes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, owner, marks = _marks(table)
+        home = owner % homes
+        rows = []
+        for h in np.unique(home).tolist():
+            names, count = np.unique(owner[home == h], return_counts=True)
+            rows.append((h, block, names.tobytes(), count.astype(np.uint32).tobytes(), marks[home == h].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table({"home": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int32()), **{n: pa.array(c, pa.binary()) for n, c in zip(("keys", "counts", "marks"), cols[2:], strict=True)}})
+
+    return run
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One row a text: its blocks, the number of marks in each and the marks."""
+    get = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    keys, counts, marks = get("keys", np.int64), get("counts", np.uint32), np.concatenate(get("marks", np.uint32))
+    block = np.repeat(np.array(table.column("block").to_pylist(), np.int32), [len(k) for k in keys])
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    starts = (np.cumsum(counts, dtype=np.int64) - counts)[order]
+    keys, counts, block = keys[order], counts[order], block[order]
+    take = np.repeat(starts - (np.cumsum(counts, dtype=np.int64) - counts), counts) + np.arange(counts.sum(dtype=np.int64))
+    marks = marks[take]
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0, [True])))
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    rows = [(block[a:b].tobytes(), counts[a:b].tobytes(), marks[ends[a] : ends[b]].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.table({"key": pa.array(keys[cut[:-1]]), **{n: pa.array(c, pa.binary()) for n, c in zip(("blocks", "counts", "marks"), cols, strict=True)}})
+
+
+def _marks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """The block's number, and sorted by text: its key and twice a segment's place among the text's own, odd if its family is open."""
     get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
     block = table.column("block")[0].as_py()
     keys, ids, counts, grams, digests = get("keys", np.int64), get("ids", np.int64), get("counts", np.uint32), get("grams", np.uint32), get("digests", np.uint64)
@@ -271,17 +303,11 @@ def _judge(table: pa.Table) -> pa.Table:
     spread = lambda x: np.repeat(x, size)
     gone = spread(several & same) & (spread(smallest) < least[own])
     still_open = spread(several & ~same)
-    rows = []
     picked = np.flatnonzero(gone | still_open)
-    picked = picked[np.lexsort((ordinal[order][picked], own[picked]))]
-    if len(picked):
-        edge = np.flatnonzero(np.concatenate(([True], np.diff(own[picked]) != 0, [True])))
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            part = picked[lo:hi]
-            o = ordinal[order][part].astype(np.uint32)
-            rows.append((int(names[own[part[0]]]), block, o[gone[part]].tobytes(), o[still_open[part]].tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table({"key": pa.array(cols[0], pa.int64()), "block": pa.array(cols[1], pa.int32()), "gone": pa.array(cols[2], pa.binary()), "open": pa.array(cols[3], pa.binary())})
+    place = ordinal[order][picked]
+    sort = np.lexsort((place, own[picked]))
+    picked = picked[sort]
+    return block, names[own[picked]], (place[sort] * 2 + still_open[picked]).astype(np.uint32)
 
 
 def _extract(length: int, blocks: int):
@@ -295,12 +321,13 @@ def _extract(length: int, blocks: int):
                 data = row["text"].encode("utf-8", "surrogatepass")
                 start, end, gram, _ = cut.of(data)
                 block = _block(gram, blocks)
-                spans = []
-                for told in row["told"]:
-                    own = np.flatnonzero(block == told["block"])
-                    gone = own[np.frombuffer(told["gone"], np.uint32)]
+                spans, marks, at = [], np.frombuffer(row["marks"], np.uint32), 0
+                for told, count in zip(np.frombuffer(row["blocks"], np.int32), np.frombuffer(row["counts"], np.uint32), strict=True):
+                    own, mark = np.flatnonzero(block == told), marks[at : at + count]
+                    at += count
+                    gone = own[mark[mark % 2 == 0] // 2]
                     spans.append(np.stack([start[gone], end[gone]], axis=1))
-                    for i in own[np.frombuffer(told["open"], np.uint32)].tolist():
+                    for i in own[mark[mark % 2 == 1] // 2].tolist():
                         rows.append((row["key"], row["id"], int(gram[i].view(np.int64)), int(start[i]), data[start[i] : end[i]], None))
                 spans = np.concatenate(spans).astype(np.int64)
                 if len(spans):
@@ -311,22 +338,53 @@ def _extract(length: int, blocks: int):
     return run
 
 
+def _repeated_windows(cut: Segments, segments: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each segment, which of its windows may be in another document too (by hash, so none is missed)."""
+    size = np.array([len(x) for x in segments])
+    b = np.frombuffer(b"".join(segments), np.uint8)
+    cut._powers(len(b) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * cut.power[: len(b)], dtype=np.uint64)))
+    first = np.cumsum(size) - size
+    count = size - length + 1
+    owner = np.repeat(np.arange(len(segments)), count)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    code = _mixed((sums[at + length] - sums[at]) * cut.inverse[at])
+    order = np.argsort(code, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+    own = ids[owner[order]]
+    several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+    mask = np.empty(len(code), bool)
+    mask[order] = np.repeat(several, np.diff(np.append(start, len(code))))
+    return np.split(mask, np.cumsum(count)[:-1])
+
+
+def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
 def _compare(length: int):
     """Spans that go in open families; a group has whole families."""
 
     def run(table: pa.Table) -> pa.Table:
-        families: dict[int, dict[bytes, int]] = {}
         rows = list(zip(*(table.column(c).to_pylist() for c in ("family", "segment", "id", "key", "start")), strict=True))
+        least: dict[tuple[int, bytes], int] = {}
         for family, segment, name, _, _ in rows:
-            own = families.setdefault(family, {})
-            own[segment] = min(name, own.get(segment, name))
-        found = {}
-        for family, own in families.items():
-            items = list(own.items())
-            found[family] = dict(zip(own, first_documents(items, length), strict=True)) if len(items) > 1 else {s: np.full(len(s) - length + 1, d) for s, d in items}
+            least[family, segment] = min(name, least.get((family, segment), name))
+        items = list(least)
+        masks = _repeated_windows(Segments(length), [x for _, x in items], np.array(list(least.values())), length) if items else []
+        # what may be repeated is compared by the suffix array of its family
+        parts: dict[int, list[tuple[tuple[int, bytes], int, int]]] = {}
+        for item, mask in zip(items, masks, strict=True):
+            for a, b in _runs(mask):
+                parts.setdefault(item[0], []).append((item, a, b))
+        found = {item: np.full(len(item[1]) - length + 1, name) for item, name in least.items()}
+        for own in parts.values():
+            for (item, a, b), first in zip(own, first_documents([(i[1][a : b + length - 1], least[i]) for i, a, b in own], length), strict=True):
+                found[item][a:b] = first
         keys, spans = [], []
         for family, segment, name, key, start in rows:
-            gone = np.flatnonzero(found[family][segment] < name)
+            gone = np.flatnonzero(found[family, segment] < name)
             if len(gone):
                 keys.append(key)
                 spans.append(np.stack([gone + start, gone + start + length], axis=1).astype(np.int64).tobytes())
@@ -389,17 +447,21 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, total // block_text)
     dealt = rows.select("id", "key", "text").mapInArrow(_deal(length, blocks), "block int, keys binary, ids binary, counts binary, grams binary, digests binary")
-    told = settle(dealt.groupBy("block").applyInArrow(_judge, "key long, block int, gone binary, open binary"))
+    told = dealt.groupBy("block").applyInArrow(_judge(blocks), "home int, block int, keys binary, counts binary, marks binary")
+    told = settle(told.groupBy("home").applyInArrow(_by_text, "key long, blocks binary, counts binary, marks binary"))
+    del dealt
+    release(spark)
     texts = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    by_text = told.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("block", "gone", "open")).alias("told"))
-    special = settle(texts.join(told.select("key").distinct().withColumn("is_told", F.lit(True)), "key", "left").where("n > 1 or is_told"))
+    special = settle(texts.join(told.select("key").withColumn("is_told", F.lit(True)), "key", "left").where("n > 1 or is_told"))
     shared = spark.sparkContext.broadcast(_bitmap(special, "key"))
     placed = rows.withColumn("at", F.pmod(F.hash("key"), F.lit(FILTER_BITS)))
     schema = "doc_id long, id long, key long, text string, at int"
     moved = placed.mapInArrow(_pick(shared, True), schema)
     # one row a text: its smallest document
-    firsts = moved.join(by_text, F.col("key") == F.col("k")).join(special.select(F.col("key").alias("k2"), "least"), F.col("key") == F.col("k2")).where("id = least")
-    found = settle(firsts.select("key", "id", "text", "told").mapInArrow(_extract(length, blocks), "key long, id long, family long, start long, segment binary, spans binary"))
+    firsts = moved.join(told.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).join(special.select(F.col("key").alias("k2"), "least"), F.col("key") == F.col("k2")).where("id = least")
+    found = settle_table(firsts.select("key", "id", "text", "blocks", "counts", "marks").mapInArrow(_extract(length, blocks), "key long, id long, family long, start long, segment binary, spans binary"))
+    del firsts
+    release(spark)
     groups = max(1, (found.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // GROUPS_TEXT)
     opened = found.where("family is not null").withColumn("group", F.pmod("family", F.lit(groups))).groupBy("group").applyInArrow(_compare(length), "key long, spans binary")
     spans = found.where("spans is not null").select("key", "spans").unionByName(opened).groupBy(F.col("key").alias("k")).agg(F.collect_list("spans").alias("spans"))
