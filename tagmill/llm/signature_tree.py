@@ -44,12 +44,17 @@ PERCENT = 80
 #: Text bytes whose n-grams make a block of the isolation step.
 BLOCK_TEXT = 64 << 20
 #: N-grams that a task of the tree step holds of either side.
-LIMIT = 2 << 20
+LIMIT = 6 << 20
 #: Entries of the table of frequent n-grams, and the least count of one.
 FREQUENT, FREQUENT_LEAST = 300_000, 16
 #: Most bits of the bitmap of nodes that are left; with too many nodes it lets others through, which costs but harms nothing.
 FILTER_BITS = 1 << 28
 LEAF, FAN = 16, 8
+
+
+def _band(percent: int) -> float:
+    """Ratio of sizes across a band: just over that of any linked pair."""
+    return 100 / percent * 1.001
 FLUSH = 1 << 20
 
 
@@ -396,16 +401,16 @@ def _join_group(percent: int):
     return run
 
 
-def _units(nodes: DataFrame, limit: int) -> DataFrame:
+def _units(nodes: DataFrame, limit: int, percent: int) -> DataFrame:
     """Deal clusters into tasks: unit, side, node. ``nodes`` has cluster, node, n."""
     whole = nodes.groupBy("cluster").agg(F.sum("n").alias("all"), F.count("*").alias("members")).where("members > 1")
     rows = nodes.join(whole, "cluster")
     small = rows.where(F.col("all") <= limit).select(F.xxhash64("cluster").alias("unit"), F.lit(0).alias("side"), "node")
-    large = rows.where(F.col("all") > limit).withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int"))
-    # bands next to each other can hold links (up to two, as logs are rounded); blocks cut a band
+    large = rows.where(F.col("all") > limit).withColumn("band", F.floor(F.log("n") / math.log(_band(percent))).cast("int"))
+    # a linked pair is in one band or two next to each other; blocks cut a band
     bands = large.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))
     large = large.join(bands, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = bands.select("cluster", F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("d"), F.col("band").alias("own"), F.col("blocks").alias("other"))
+    near = bands.select("cluster", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d"), F.col("band").alias("own"), F.col("blocks").alias("other"))
     near = near.select("cluster", (F.col("own") + F.col("d")).alias("band"), "other", (-F.col("d")).alias("step"))
     pairs = large.join(near, ["cluster", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
     # a unit is named by its lower block first
@@ -447,7 +452,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
     met = settle(sets.select("node", "tokens").mapInArrow(_prefixes(percent, blocks, frequent), "block int, a binary, b binary"))
     stars = met.where("block = -1").select("a", "b").mapInArrow(_unpack, "src long, dst long").unionByName(met.where("block >= 0").groupBy("block").applyInArrow(_meet, "src long, dst long"))
     clusters = components(stars)
-    units = _units(sets.select("node", "n").distinct().join(clusters, "node").withColumnRenamed("component", "cluster"), limit)
+    units = _units(sets.select("node", "n").distinct().join(clusters, "node").withColumnRenamed("component", "cluster"), limit, percent)
     groups = max(1, entries // limit)
     keyed = units.withColumn("group", F.when(F.col("side") >= 2, F.col("unit")).otherwise(F.pmod("unit", F.lit(groups)))).join(sets.select("node", "tokens"), "node")
     links = keyed.groupBy("group").applyInArrow(_join_group(percent), "src long, dst long")
