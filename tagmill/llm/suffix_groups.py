@@ -40,7 +40,7 @@ LENGTH = 50
 #: Bytes of the grams that name families: longer ones are shared by chance less often, but cut texts finer.
 GRAM = 24
 CHUNK = 1 << 20
-BLOCK_TEXT = 64 << 20
+BLOCK_TEXT = 24 << 20
 FILTER_BITS = 1 << 24
 FLUSH = 1 << 20
 GROUPS_TEXT = 1 << 20
@@ -290,11 +290,12 @@ def _marks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     first = np.full(len(names), len(keys))
     np.minimum.at(first, at, np.arange(len(keys)))
     take = np.repeat(np.arange(len(keys)) == first[at], counts)
-    owner = np.repeat(at, counts)[take]
-    ordinal = (np.arange(len(grams)) - np.repeat(starts, counts))[take]
+    owner = np.repeat(at.astype(np.int32), counts)[take]
+    ordinal = (np.arange(len(grams), dtype=np.int64) - np.repeat(starts, counts))[take].astype(np.uint32)
     grams, digests = grams[take], digests[take]
     order = np.argsort(grams, kind="stable")
-    gram, own, digest = grams[order], owner[order], digests[order]
+    gram, own, digest, ordinal = grams[order], owner[order], digests[order], ordinal[order]
+    del take, grams, digests, owner, order
     cut = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     size = np.diff(np.append(cut, len(gram)))
     several = np.maximum.reduceat(own, cut) != np.minimum.reduceat(own, cut)
@@ -304,7 +305,7 @@ def _marks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     gone = spread(several & same) & (spread(smallest) < least[own])
     still_open = spread(several & ~same)
     picked = np.flatnonzero(gone | still_open)
-    place = ordinal[order][picked]
+    place = ordinal[picked]
     sort = np.lexsort((place, own[picked]))
     picked = picked[sort]
     return block, names[own[picked]], (place[sort] * 2 + still_open[picked]).astype(np.uint32)
