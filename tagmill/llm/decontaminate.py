@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tagmill.llm.common import text_batches
 
@@ -31,6 +32,8 @@ N = 10
 BLOCK_BYTES = 16 << 20
 _KEEP = bytes(c if (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80) else 0x20 for c in range(256))
 SCANNED = "doc_id long, n_words long, hit_runs array<struct<start:int,end:int>>, items array<string>, text_key long"
+#: Hits of the blocks searched so far, as [start, end) over words.
+HITS = StructField("hits_so_far_", ArrayType(ArrayType(IntegerType())))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -98,13 +101,12 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about ``block_bytes``, fetched one at a time."""
+def _blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks of about ``block_bytes`` the items make, and the blocks, fetched one at a time."""
     named = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    for b in range(n):
-        yield [tuple(r) for r in named.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == b).collect()]
+    return n, ([tuple(r) for r in named.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == b).collect()] for b in range(n))
 
 
 def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,7 +115,7 @@ def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     text_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     parts = []
-    for block in _blocks(items, item, item_text, block_bytes):
+    for block in _blocks(items, item, item_text, block_bytes)[1]:
         shared = spark.sparkContext.broadcast(vars(Windows(block, n)))
 
         def search(batches, shared=shared):
@@ -160,27 +162,37 @@ def remove(docs: DataFrame, items: DataFrame, *, text: str = "text", n: int = N,
     """Documents without the hit spans; those whose hit words reach ``drop_share`` go whole.
 
     Texts without a hit stay as they are, byte for byte. A removed span reaches from its
-    first word to the end of its last one.
+    first word to the end of its last one. All blocks are searched in the original text;
+    the union of their hits is judged and cut once.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    schema, blocks = docs.schema, list(_blocks(items, "item_id", "text", block_bytes))
+    n_blocks, blocks = _blocks(items, "item_id", "text", block_bytes)
+    names, at_text = docs.columns, docs.columns.index(text)
     out = docs
-    for block in blocks:
+    for k, block in enumerate(blocks):
         shared = spark.sparkContext.broadcast(vars(Windows(block, n)))
+        last = k == n_blocks - 1
+        # the text stays as it is until the last block has been searched; the hits so far go along
+        schema = docs.schema if last else StructType([*docs.schema.fields, HITS])
 
-        def cut(batches, shared=shared):
+        def search(batches, shared=shared, first=k == 0, last=last):
             import regex
 
-            windows, pattern, at_text = Windows.of(shared.value), regex.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+"), schema.names.index(text)
+            windows, pattern = Windows.of(shared.value), regex.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
             get = windows.vocab.get
             for batch in batches:
-                texts, keep = [], []
-                for value in batch.column(at_text):
-                    value = value.as_py()
+                *columns, earlier = batch.columns if not first else [*batch.columns, [None] * batch.num_rows]
+                texts, keep, hits = [], [], []
+                for value, before in zip(columns[at_text], earlier, strict=True):
+                    value, before = value.as_py(), [] if first else before.as_py()
                     found = words(value)
-                    mask, at = windows.search(np.fromiter((get(w, 0) for w in found), np.int64, len(found))) if found else (None, {})
-                    if at:
+                    mask, at = windows.search(np.fromiter((get(w, 0) for w in found), np.int64, len(found))) if found else (np.zeros(0, bool), {})
+                    for a, b in before:
+                        mask[a:b] = True
+                    if not last:
+                        hits.append(runs(mask) if at else before)
+                    elif at or before:
                         spans = [m.span() for m in pattern.finditer(value)]
                         keep.append(bool(mask.mean() < drop_share))
                         ends, pieces = 0, []
@@ -191,8 +203,11 @@ def remove(docs: DataFrame, items: DataFrame, *, text: str = "text", n: int = N,
                     else:
                         texts.append(value)
                         keep.append(True)
-                columns = [pa.array(texts, batch.column(i).type) if i == at_text else batch.column(i) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
+                if last:
+                    columns[at_text] = pa.array(texts, columns[at_text].type)
+                    yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.list_(pa.int32())))], [*names, HITS.name])
 
-        out = out.mapInArrow(cut, schema)
+        out = out.mapInArrow(search, schema)
     return out

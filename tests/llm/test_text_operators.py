@@ -179,6 +179,21 @@ def test_removal_of_benchmark_spans(spark):
     assert got == {1: "Before, ! after " + "x " * 40, 3: "clean\ttext ", 4: None}
 
 
+def test_removal_in_blocks_is_removal_at_once(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(w[5 * i : 5 * i + 10])) for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, " ".join([*"abc", *w[5 * i : 5 * i + 15], *["x"] * 40, "end"])) for i in range(9)]  # windows of two items overlap
+    docs += [(20 + i, " ".join([*w[5 * i : 5 * i + 10], *["y"] * 12, *w[5 * i + 15 : 5 * i + 25]])) for i in range(7)]  # each of two items holds less than half
+    docs += [(40 + i, " ".join([*w[20:25], *w[5 * i : 5 * i + 10], *w[25:30], *["z"] * 40])) for i in (0, 1, 7, 8)]  # a cut makes neighbours
+    docs = spark.createDataFrame([*docs, (60, None), (61, "clean")], "doc_id long, text string")
+    once = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, bench).collect()}
+    assert once[0] == "a b c  " + " ".join(["x"] * 40) + " end" and not any(20 <= k < 30 for k in once)
+    assert once[40].split()[:10] == [*w[20:30]] and once[60] is None and once[61] == "clean"
+    for block_bytes in (70, 150):
+        assert {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, bench, block_bytes=block_bytes).collect()} == once
+
+
 def test_token_files(spark, docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
