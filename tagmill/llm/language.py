@@ -1,6 +1,6 @@
 """Language identification by Bayesian fusion of text, markup, address and host evidence.
 
-Text: byte trigrams of the lower-cased text without words that hold digits, hashed into a table of log likelihoods that
+Text: byte trigrams of the lower-cased text with a blank for each run of ASCII digits, hashed into a table of log likelihoods that
 is trained on a bounded sample of texts of known language; every trigram of every text
 is read. Markup: the declared language, through a confusion table of declared and text
 language. Address: the host's prior is smoothed towards its suffix, the suffix's towards
@@ -14,7 +14,7 @@ has a letter.
 Hosts are joined by broadcast up to a checked number, else by shuffle; counts are summed
 before they are dealt out, so a host with a third of all rows is no hot key.
 
-Defined cases: null, empty and letterless texts (but for words with digits) are "und", p 1, not kept; null urls and
+Defined cases: null, empty and letterless texts are "und", p 1, not kept; null urls and
 hosts share the evidence of the null host, null or unknown declarations give none; with
 no training text every row is "und"; repeated rows are rows; empty tables give no rows;
 other columns named in ``carry`` come back unchanged, the rest is ignored.
@@ -44,8 +44,8 @@ MILLION = 1_000_000
 BROADCAST_HOSTS = 50_000
 BLOCK = 1 << 20
 _DROP = re.compile(r"(?is)<(script|style|nav|header|footer|aside|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-#: Numbers, keys and the like tell no language.
-_NUMBERED = re.compile(r"\S*[0-9]\S*")
+#: Digits tell no language; what stands beside them is read.
+_DIGITS = re.compile(r"[0-9]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -67,7 +67,7 @@ def train(samples: list[tuple[str, str]]) -> dict:
     names = sorted({lang for lang, _ in samples})
     counts = np.full((1 << BITS, len(names)), 0.5)
     for lang, text in samples:
-        for grams in trigrams(_NUMBERED.sub(" ", text)):
+        for grams in trigrams(_DIGITS.sub(" ", text)):
             counts[:, names.index(lang)] += np.bincount(grams, minlength=1 << BITS)
     return {"names": names, "table": np.log(counts / counts.sum(axis=0)).astype(np.float32)}
 
@@ -97,7 +97,7 @@ def text_evidence(rows: DataFrame, model: dict, carry: list[str], *, text: str =
             out = []
             for value in batch.column(batch.num_columns - 1):
                 value = value.as_py() or ""
-                value = _NUMBERED.sub(" ", page_text(value) if is_html else value)
+                value = _DIGITS.sub(" ", page_text(value) if is_html else value)
                 score = np.full(size + 1, np.log(1 - UNKNOWN_PRIOR) - np.log(max(size, 1)))
                 score[size] = np.log(UNKNOWN_PRIOR)
                 if not size or not _LETTER.search(value):

@@ -129,6 +129,16 @@ def test_language(spark):
     assert language.identify_documents(odd, language.train([]), carry=["doc_id"]).where("kept").count() == 0
 
 
+def test_language_of_unspaced_text_with_digits(spark):
+    plain = "今日は天気がとても良いので公園まで歩きました。そこで友達と会って昼ご飯を食べました。"
+    model = language.train([("ja", plain), ("en", "the weather was good today and we walked to the park to have lunch there")])
+    dated = "今日は2024年の公園です。友達と会って昼ご飯を食べました。とても良い天気でした。"
+    long = plain * 4000  # 160,000 characters without a blank or a digit
+    identify = lambda rows: sorted((r["doc_id"], r["lang"], r["kept"]) for r in language.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), model, carry=["doc_id"]).collect())
+    assert identify([(1, dated, None), (2, "<b>we-walked-to-the-park1</b>", None), (3, "2024", None)]) == [(1, "ja", True), (2, "en", True), (3, "und", False)]
+    assert identify([(4, long, None)]) == [(4, "ja", True)]
+
+
 def test_page_parts(spark):
     f = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert f(language.host_of, "https://u:p@www.Example.DE:80/x") == "www.example.de" and f(language.declared_in, "<!doctype html><HTML class=a LANG='Pt-BR'>") == "pt"
