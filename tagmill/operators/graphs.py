@@ -17,9 +17,10 @@ from tagmill.functions import umi as U
 from tagmill.graph import components, settle
 
 
-def build_nodes(reads: DataFrame, keys: list[str], umi: str = "umi", read_id: str = "id") -> DataFrame:
-    """keys, umi, cnt, node: one hash aggregation with map-side counts."""
-    return reads.where(F.col(umi).isNotNull()).groupBy(*keys, F.col(umi).alias("umi")).agg(F.count("*").alias("cnt"), F.min(read_id).alias("node"))
+def build_nodes(reads: DataFrame, keys: list[str], umi: str = "umi", read_id: str = "id", quality: str | None = None) -> DataFrame:
+    """keys, umi, cnt, node (and the mean ``quality`` if asked for): one hash aggregation with map-side counts."""
+    mean = [F.avg(quality).alias("quality")] if quality else []
+    return reads.where(F.col(umi).isNotNull()).groupBy(*keys, F.col(umi).alias("umi")).agg(F.count("*").alias("cnt"), F.min(read_id).alias("node"), *mean)
 
 
 def numbered(nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -323,24 +323,34 @@ def redistribute(rows: list[dict[str, float]], cycles: int = 100, tolerance: flo
     return dict(zip(names, (w * count.sum()).tolist(), strict=True))
 
 
-def merge_bayes(nodes: list[tuple[str, int, float]], edges: list[tuple[int, int]], posterior, threshold: float = 0.5, rounds: int = 100) -> list[int]:
-    """Merge base into target while the posterior passes a threshold that grows with the group's size."""
-    count = [float(c) for _, c, _ in nodes]
-    rep, alive = list(range(len(nodes))), [True] * len(nodes)
-    bar = min(threshold + 0.05 * math.log1p(len(nodes)), 0.99)
+def merge_bayes(umis: list[str], counts: np.ndarray, quality: np.ndarray, edges: list[tuple[int, int]], posterior, threshold: float = 0.9, rounds: int = 100, others: float = 0) -> list[int]:
+    """Merge base into target where the posterior reaches a threshold that grows with the group's live barcodes.
+
+    Each round directs the pairs of live barcodes anew, from the rarer to the more frequent
+    (ties: lower quality, then name, is the base), and merges those at the bar by target
+    count descending, ratio, quality and names. ``others`` counts the group's barcodes elsewhere.
+    """
+    count, quality = np.array(counts, float), np.asarray(quality, float)
+    rep, live = list(range(len(umis))), set(range(len(umis)))
+    pairs = sorted(((u, v) if umis[u] < umis[v] else (v, u) for u, v in edges), key=lambda e: (umis[e[0]], umis[e[1]]))
     for _ in range(rounds):
-        changed = False
-        for base, target in edges:
-            if not (alive[base] and alive[target]):
-                continue
-            if (count[base], -nodes[base][2]) > (count[target], -nodes[target][2]):
-                base, target = target, base
-            if posterior(count[base], count[target], nodes[base][2]) >= bar:
-                rep[base], alive[base] = target, False
-                count[target] += count[base]
-                changed = True
-        if not changed:
+        pairs = [(u, v) for u, v in pairs if u in live and v in live]
+        if not pairs:
+            break
+        u, v = np.array(pairs).T
+        first = (count[u] < count[v]) | (count[u] == count[v]) & (quality[u] <= quality[v])
+        base, target = np.where(first, u, v), np.where(first, v, u)
+        ratio = count[base] / np.maximum(count[target], 1)
+        bar = min(threshold + 0.05 * math.log1p(len(live) + others), 0.99)
+        chosen = np.flatnonzero(posterior(quality[base], ratio, count[base]) >= bar)
+        chosen = chosen[np.lexsort((quality[base][chosen], ratio[chosen], -count[target][chosen]))]
+        if not len(chosen):
             break
+        for b, t in zip(base[chosen].tolist(), target[chosen].tolist(), strict=True):
+            if b in live and t in live:
+                count[t] += count[b]
+                rep[b] = t
+                live.remove(b)
     for i in range(len(rep)):
         while rep[i] != rep[rep[i]]:
             rep[i] = rep[rep[i]]

@@ -6,6 +6,8 @@ so a large locus still spreads over tasks by its components.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,9 +17,9 @@ from tagmill.operators import kernels as K
 from tagmill.operators.graphs import with_components
 
 
-def _with_neighbours(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+def _with_neighbours(nodes: DataFrame, edges: DataFrame, keys: list[str], more: Sequence[str] = ()) -> DataFrame:
     near = edges.groupBy("src").agg(F.collect_list("dst").alias("near"))
-    return with_components(nodes, edges).join(near.withColumnRenamed("src", "node"), "node", "left").select(*keys, "cc", "node", "umi", "cnt", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    return with_components(nodes, edges).join(near.withColumnRenamed("src", "node"), "node", "left").select(*keys, "cc", "node", "umi", "cnt", *more, F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
 
 
 def _schema(df: DataFrame, keys: list[str]) -> str:
@@ -138,36 +140,65 @@ def classic_merge(nodes: DataFrame, edges: DataFrame, keys: list[str], multiplie
     return _apply(_with_neighbours(nodes, edges, keys), ["cc"], keys, labels)
 
 
-def bayes_merge(nodes: DataFrame, edges: DataFrame, keys: list[str], bins: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Naive Bayes on binned counts of neighbouring barcodes, trained over all pairs, then merges per component.
+def bayes_merge(nodes: DataFrame, edges: DataFrame, keys: list[str], bins: int = 10, threshold: float = 0.9) -> DataFrame:
+    """Naive Bayes on quality, count ratio and count of the base, trained over all pairs, then merges per group.
+
+    Pairs go from the rarer barcode (base) to the other. A training pair is an error if the
+    ratio of counts is at most 0.2, or if the base has at most 2 reads and the target 4 or
+    more; pairs of ratio 0.5 or more with 3 or more reads each are none. The model is a few
+    numbers a bin: quantile borders and smoothed bin counts from two aggregations. ``quality``
+    of the nodes is a mean of their reads; 30 where there is none.
 
-    A training pair is an error if the rarer has at most half the count of the other. The
-    model is a few numbers a bin: quantile borders and smoothed bin counts from two aggregations.
+    The bar depends on the live barcodes of the group up to a number; a group with that
+    many components always stays at its upper limit, so its components are merged apart.
     """
-    counts = nodes.select("node", "cnt")
-    pairs = edges.join(counts.withColumnsRenamed({"node": "src", "cnt": "a"}), "src").join(counts.withColumnsRenamed({"node": "dst", "cnt": "b"}), "dst")
-    pairs = pairs.select(F.least("a", "b").cast("double").alias("low"), F.greatest("a", "b").cast("double").alias("high")).withColumn("ratio", F.col("low") / F.col("high")).withColumn("err", (F.col("low") <= 0.5 * F.col("high")).cast("int"))
-    at = [i / bins for i in range(1, bins)]
-    row = pairs.agg(F.percentile("low", F.array(*map(F.lit, at))).alias("low"), F.percentile("ratio", F.array(*map(F.lit, at))).alias("ratio")).first()
-    borders = {c: sorted(set(row[c] or [])) for c in ("low", "ratio")}
     from tagmill.functions.umi import digitize
 
-    binned = pairs.select("err", *(digitize(F.col(c), borders[c]).alias(c) if borders[c] else F.lit(0).alias(c) for c in borders))
-    seen = {(r["err"], r["low"], r["ratio"]): r["count"] for r in binned.groupBy("err", "low", "ratio").count().collect()}  # at most 2 * bins squared rows
-    table = {}
-    for c, col in (("low", 1), ("ratio", 2)):
-        for err in (0, 1):
-            total = sum(v for k, v in seen.items() if k[0] == err)
-            table[c, err] = [(sum(v for k, v in seen.items() if k[0] == err and k[col] == i) + 1) / (total + bins) for i in range(bins)]
-    wrong, everything = sum(v for k, v in seen.items() if k[0]), sum(seen.values())
-    prior = (wrong + 1) / (everything + 2)
-
-    def posterior(base: float, target: float, quality: float) -> float:
-        place = {"low": sum(b <= base for b in borders["low"]), "ratio": sum(b <= base / target for b in borders["ratio"])}
-        yes, no = prior, 1 - prior
-        for c, i in place.items():
-            yes, no = yes * table[c, 1][i], no * table[c, 0][i]
-        return yes / (yes + no)
-
-    labels = lambda f: K.merge_bayes([(u, c, 0.0) for u, c in zip(f["umi"], f["cnt"], strict=True)], _index_edges(f), posterior, threshold)
-    return _apply(_with_neighbours(nodes, edges, keys), ["cc"], keys, labels)
+    quality = F.coalesce(F.col("quality").cast("double"), F.lit(30.0)) if "quality" in nodes.columns else F.lit(30.0)
+    nodes = nodes.withColumn("quality", quality)
+    end = lambda name: nodes.select(F.col("node").alias(name), F.struct("cnt", "quality", "umi").alias(f"{name}_"))
+    pairs = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst")
+    pairs = pairs.select(F.least("src_", "dst_").alias("base"), F.greatest("src_", "dst_").alias("target"))
+    pairs = pairs.select(F.col("base.quality").alias("quality"), (F.col("base.cnt") / F.greatest("target.cnt", F.lit(1))).alias("ratio"), F.col("base.cnt").cast("double").alias("low"), F.col("target.cnt").alias("high"))
+    error = (F.col("ratio") <= 0.2) | (F.col("low") <= 2) & (F.col("high") >= 4)
+    alike = (F.col("ratio") >= 0.5) & (F.col("low") >= 3) & (F.col("high") >= 3)
+    pairs = pairs.select("quality", "ratio", "low", (error & ~alike).cast("int").alias("err"))
+    parts = ("quality", "ratio", "low")
+    at = F.array(*map(F.lit, np.linspace(0, 1, bins + 1)[1:-1].tolist()))
+    row = pairs.agg(*(F.percentile(c, at).alias(c) for c in parts)).first()
+    borders = {c: sorted(set(row[c] or [])) for c in parts}
+    binned = pairs.select("err", *(digitize(F.col(c), borders[c]).alias(c) if borders[c] else F.lit(0).alias(c) for c in parts))
+    seen = {tuple(r)[:-1]: r["count"] for r in binned.groupBy("err", *parts).count().collect()}  # at most 2 * bins cubed rows
+    prior = np.array([sum(n for k, n in seen.items() if k[0] == err) for err in (0, 1)], float)
+    prior = prior / prior.sum() if prior.all() else np.array([0.5, 0.5])
+    tables = []
+    for i, c in enumerate(parts, 1):
+        table = np.ones((2, len(borders[c]) + 1))
+        for k, n in seen.items():
+            table[k[0], k[i]] += n
+        tables.append((np.array(borders[c]), np.log(table / table.sum(axis=1, keepdims=True))))
+    prior = np.log(prior)
+
+    def posterior(*values: np.ndarray) -> np.ndarray:
+        no, yes = prior[0], prior[1]
+        for (border, table), x in zip(tables, values, strict=True):
+            place = np.digitize(x, border)
+            no, yes = no + table[0, place], yes + table[1, place]
+        most = np.maximum(no, yes)
+        no, yes = np.exp(no - most), np.exp(yes - most)
+        return yes / (no + yes)
+
+    capped = 0
+    while threshold + 0.05 * np.log1p(capped) < 0.99:
+        capped += 1
+    df = _with_neighbours(nodes, edges, keys, ["quality"])
+    few = df.groupBy(*keys).agg(F.count_if(F.col("node") == F.col("cc")).alias("n_")).where(F.col("n_") < capped)
+    few = few.select(*(F.col(k).alias(f"{k}_") for k in keys), F.lit(True).alias("whole"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    df = df.join(few, same, "left").withColumn("part", F.when(F.col("whole"), F.lit(None)).otherwise(F.col("cc")))
+
+    def labels(frame: pd.DataFrame) -> list[int]:
+        others = 0 if frame["part"].isna().all() else np.inf
+        return K.merge_bayes(frame["umi"].tolist(), frame["cnt"].to_numpy(), frame["quality"].to_numpy(), _index_edges(frame), posterior, threshold, others=others)
+
+    return _apply(df, [*keys, "part"], keys, labels)

@@ -13,12 +13,13 @@ from tagmill.operators.graphs import build_edges, build_nodes, settle
 class Dedup:
     """Reads grouped at any granularity; nodes and edges are built once for all methods.
 
-    ``collapse`` is a column function applied to the barcode first (homopolymer votes).
+    ``collapse`` is a column function applied to the barcode first (homopolymer votes);
+    ``quality``, where the reads have it, goes into the Bayesian merges.
     """
 
-    def __init__(self, reads: DataFrame, keys: list[str], umi: str = "umi", read_id: str = "id", ed: int = 1, rule: str = "eq", collapse=None):
+    def __init__(self, reads: DataFrame, keys: list[str], umi: str = "umi", read_id: str = "id", ed: int = 1, rule: str = "eq", collapse=None, quality: str = "qual"):
         self.reads = reads.withColumn(umi, collapse(F.col(umi))) if collapse else reads
-        self.keys, self.umi, self.read_id = keys, umi, read_id
+        self.keys, self.umi, self.read_id, self.quality = keys, umi, read_id, quality
         self.nodes = settle(build_nodes(self.reads, keys, umi, read_id))
         self.edges = settle(build_edges(self.nodes, keys, ed, rule))
 
@@ -32,7 +33,8 @@ class Dedup:
         if method == "set_cover":
             return local.set_cover(self.nodes, self.keys, **options)
         if method == "dropest":
-            return local.bayes_merge(self.nodes, self.edges, self.keys, **options)
+            nodes = build_nodes(self.reads, self.keys, self.umi, self.read_id, self.quality) if self.quality in self.reads.columns else self.nodes
+            return local.bayes_merge(settle(nodes), self.edges, self.keys, **options)
         if method == "dropest_classic":
             return local.classic_merge(self.nodes, self.edges, self.keys, **options)
         raise KeyError(f"no method {method}")

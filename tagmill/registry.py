@@ -259,12 +259,18 @@ for _name, _make in {
     "j15_birch": lambda n, e: local.point_clusters(n, e, GENE, "birch"),
     "j15_affinity_propagation": lambda n, e: local.point_clusters(n, e, GENE, "affinity_propagation"),
     "j15_hdbscan": lambda n, e: local.point_clusters(n, e, GENE, "hdbscan"),
-    "j18_dropest": lambda n, e: local.bayes_merge(n, e, GENE),
     "j19_dropest_classic": lambda n, e: local.classic_merge(n, e, GENE),
 }.items():
     query(_name)(_kernel_query(_make))
 
 
+@query("j18_dropest")
+def j18(s, d):
+    nodes = graphs.settle(graphs.build_nodes(reads(s, d), GENE, quality="qual"))
+    edges = graphs.settle(graphs.build_edges(nodes, GENE, 1, length=6))
+    return summary.summarize(graphs.settle(local.bayes_merge(nodes, edges, GENE)), GENE)
+
+
 @query("j15_dbscan", f"WITH RECURSIVE {COMPONENTS_SQL} SELECT gene, count(DISTINCT cc) AS dedup_cnt FROM nodes JOIN cc USING (node) GROUP BY gene")
 def j15(s, d):
     return local.dbscan_components(_nodes(s, d), GENE).groupBy("gene").agg(F.count_distinct("rep").alias("dedup_cnt"))

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagmill.graph import components
 from tagmill.operators import dedup, graphs, local, summary
+from tagmill.plans.pipeline import Dedup
 
 COUNTS = {"A": 120, "B": 2, "C": 2, "D": 90, "E": 50, "F": 1, "G": 5}
 UMIS = {"A": "AGATCTCGCA", "B": "AGATCCCGCA", "C": "AGATCACGCA", "D": "AGATCGCGCA", "E": "AGATCGCGGA", "F": "AGATCGCGTA", "G": "TGATCGCGAA"}
@@ -154,3 +157,78 @@ def test_edges_of_mixed_lengths(spark, k, rule):
                 if d == k or rule == "le" and d <= k:
                     want.add((i, j))
     assert got == want
+
+
+def bayes_by_force(rows, bins=10, threshold=0.9):
+    """node: rep, by comparing all barcodes of a group in every round."""
+    groups = {}
+    for key, umi, cnt, node, qual in rows:
+        groups.setdefault(key, {})[umi] = (cnt, qual, node)
+
+    def directed(live, counts, quals):
+        for i, u in enumerate(sorted(live)):
+            for v in sorted(live)[i + 1 :]:
+                if len(u) == len(v) and sum(x != y for x, y in zip(u, v, strict=True)) == 1:
+                    swap = counts[u] > counts[v] or counts[u] == counts[v] and quals[u] > quals[v]
+                    b, t = (v, u) if swap else (u, v)
+                    yield b, t, quals[b], counts[b] / max(counts[t], 1), counts[b], counts[t]
+
+    split = {k: ({u: x[0] for u, x in g.items()}, {u: x[1] for u, x in g.items()}) for k, g in groups.items()}
+    seen = [p for counts, quals in split.values() for p in directed(set(counts), counts, quals)]
+    y = np.array([int((r <= 0.2 or c <= 2 and t >= 4) and not (r >= 0.5 and c >= 3 and t >= 3)) for *_, r, c, t in seen])
+    borders = [np.unique(np.quantile([p[i] for p in seen], np.linspace(0, 1, bins + 1)[1:-1])) for i in (2, 3, 4)]
+    tables = [np.array([[1 + sum(np.digitize(p[i], b) == k and y[n] == c for n, p in enumerate(seen)) for k in range(len(b) + 1)] for c in (0, 1)], float) for i, b in zip((2, 3, 4), borders, strict=True)]
+    prior = [np.mean(y == c) or 0.5 for c in (0, 1)]
+
+    def posterior(pair):
+        p = [np.log(prior[c]) + sum(np.log(t[c, np.digitize(pair[i], b)] / t[c].sum()) for i, b, t in zip((2, 3, 4), borders, tables, strict=True)) for c in (0, 1)]
+        return 1 / (1 + np.exp(p[0] - p[1]))
+
+    out = {}
+    for key, (counts, quals) in split.items():
+        live, rep = set(counts), {u: u for u in counts}
+        for _ in range(100):
+            bar = min(threshold + 0.05 * np.log1p(len(live)), 0.99)
+            good = sorted((p for p in directed(live, dict(counts), quals) if posterior(p) >= bar), key=lambda p: (-p[5], p[3], p[2]))
+            if not good:
+                break
+            for b, t, *_ in good:
+                if b in live and t in live:
+                    counts[t] += counts[b]
+                    rep[b] = t
+                    live.remove(b)
+        for u in rep:
+            end = u
+            while rep[end] != end:
+                end = rep[end]
+            out[groups[key][u][2]] = groups[key][end][2]
+    return out
+
+
+def test_bayes_merges(spark):
+    rng = random.Random(7)
+    rows, near = [], lambda u: (lambda i: u[:i] + rng.choice("ACGT") + u[i + 1 :])(rng.randrange(len(u)))
+    for g in range(60):
+        true = ["".join(rng.choice("ACGT") for _ in range(6)) for _ in range(rng.choice([1, 1, 2, 4, 12]))]
+        own = {u: (rng.choice([3, 9, 9, 30, 60, 100]), float(rng.randint(30, 38))) for u in true}
+        for u in true:
+            for _ in range(rng.randint(0, 4)):
+                own.setdefault(near(rng.choice([u, near(u)])), (rng.choice([1, 1, 1, 2, 3, 12]), float(rng.choice([12, 14, 20, 33]))))
+        rows += [(g, u, c, 100 * g + i, q) for i, (u, (c, q)) in enumerate(sorted(own.items()))]
+    nodes = spark.createDataFrame(rows, "key int, umi string, cnt long, node long, quality double")
+    edges = graphs.build_edges(nodes, ["key"], 1)
+    want = bayes_by_force(rows)
+    got = {r["node"]: r["rep"] for r in local.bayes_merge(nodes, edges, ["key"]).collect()}
+    assert got == want and len(want) / 9 < sum(a != b for a, b in want.items()) < len(want) / 2
+    # the quality counts, and barcodes of similar counts stay
+    level = nodes.withColumn("quality", F.lit(30.0))
+    assert {r["node"]: r["rep"] for r in local.bayes_merge(level, edges, ["key"]).collect()} == bayes_by_force([(*r[:4], 30.0) for r in rows]) != want
+    alike = spark.createDataFrame([(1, "AAAA", 4, 1), (1, "AAAT", 8, 2)], "key int, umi string, cnt long, node long")
+    assert local.bayes_merge(alike, graphs.build_edges(alike, ["key"], 1), ["key"]).where("node = rep").count() == 2
+
+
+def test_bayes_merges_use_read_quality(spark):
+    reads = spark.createDataFrame([(1, "k", "AAAA", 20), (2, "k", "AAAA", 30), (3, "k", "AAAT", None)], "id long, key string, umi string, qual int")
+    rows = {r["umi"]: r["quality"] for r in graphs.build_nodes(reads, ["key"], quality="qual").collect()}
+    assert rows == {"AAAA": 25.0, "AAAT": None}
+    assert Dedup(reads, ["key"]).assign("dropest").count() == 2
