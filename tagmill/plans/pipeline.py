@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,22 +96,60 @@ def heterogeneity(reads: DataFrame, origin: Column, by: tuple[str, ...] = ("perm
     return summary.summarize(assignment, list(by)).select(*by, "dedup_cnt"), origin_edges(traced, origins, list(by))
 
 
+#: Library barcodes that are broadcast at a time.
+LIBRARY_BLOCK = 20_000
+
+
 def heal(reads: DataFrame, library: DataFrame, umi: str = "umi", most: int | None = None) -> DataFrame:
     """Reads with the library barcode closest to their collapsed one, and its distance; ties by name.
 
-    The library is broadcast up to a checked size; beyond it only barcodes at most one
-    base away are looked up, by masked equi-joins.
+    Barcodes of the library's one length find a reference at most one base away by masked
+    equi-joins. All others are compared with the whole library, in broadcast blocks of a
+    fixed size. Null barcodes have no reference, null references take no part.
     """
-    known = library.select("reference").distinct()
-    collapsed = reads.withColumn("monomer", U.majority_vote(F.col(umi)))
-    distinct = collapsed.select("monomer").distinct()
-    if known.count() <= 10_000:
-        pairs = distinct.join(F.broadcast(known)).withColumn("ed", U.hamming(F.col("monomer"), F.col("reference")))
-    else:
-        a = distinct.select(F.lit(0).alias("k"), F.col("monomer").alias("umi"), F.xxhash64("monomer").alias("node"))
-        masks = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.overlay(c, F.lit("*"), i)))
-        pairs = a.select("umi", masks(F.col("umi")).alias("m")).join(known.select("reference", masks(F.col("reference")).alias("m")), "m").select(F.col("umi").alias("monomer"), "reference").distinct()
-        pairs = pairs.withColumn("ed", U.hamming(F.col("monomer"), F.col("reference")))
-    best = pairs.groupBy("monomer").agg(F.min(F.struct("ed", "reference")).alias("b")).select("monomer", "b.reference", "b.ed")
-    out = collapsed.join(best, "monomer", "left")
+    known = library.where("reference is not null").select("reference").distinct()
+    collapsed = reads.withColumn("monomer", F.when(F.col(umi).isNotNull(), U.majority_vote(F.col(umi))))
+    distinct = settle(collapsed.where("monomer is not null").select("monomer").distinct())
+    size, shortest, longest = known.agg(F.count("*"), F.min(F.length("reference")), F.max(F.length("reference"))).first()
+    best, rest = [], distinct
+    if size and shortest == longest and shortest > 0:
+        # one length: a reference within one base agrees in all but one place
+        masks = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.lit(shortest)), lambda i: F.struct(i.alias("i"), F.overlay(c, F.lit("*"), i).alias("t"))))
+        alike = distinct.where(F.length("monomer") == shortest)
+        pairs = alike.select("monomer", masks(F.col("monomer")).alias("m")).join(known.select("reference", masks(F.col("reference")).alias("m")), "m")
+        near = pairs.withColumn("ed", (F.col("monomer") != F.col("reference")).cast("int"))
+        near = settle(near.groupBy("monomer").agg(F.min(F.struct("ed", "reference")).alias("b")))
+        best, rest = [near], settle(distinct.join(near.select("monomer"), "monomer", "left_anti"))
+    blocks = -(-size // LIBRARY_BLOCK)
+    for b in range(blocks):
+        block = known.where(F.pmod(F.xxhash64("reference"), F.lit(blocks)) == b)
+        rows = [r["reference"] for r in block.collect()]
+        best.append(_nearest(rest, rows))
+    pairs = reduce(DataFrame.unionByName, best) if best else distinct.limit(0).withColumn("b", F.struct(F.lit(0).alias("ed"), F.col("monomer").alias("reference")))
+    nearest = pairs.groupBy("monomer").agg(F.min("b").alias("b")).select("monomer", "b.reference", "b.ed")
+    out = collapsed.join(nearest, "monomer", "left")
     return out.where(F.col("ed") <= most) if most is not None else out
+
+
+def _nearest(distinct: DataFrame, references: list[str]) -> DataFrame:
+    """monomer and b: the least (ed, reference) of a list, over the common length of both."""
+    shared = distinct.sparkSession.sparkContext.broadcast(sorted(references))
+
+    def search(batches):
+        by_length: dict[int, list[str]] = {}
+        for r in shared.value:
+            by_length.setdefault(len(r), []).append(r)
+        codes = {k: np.array([list(map(ord, r)) for r in rs], np.int32).reshape(len(rs), k) for k, rs in by_length.items()}
+        for batch in batches:
+            out = []
+            for monomer in batch.column(0).to_pylist():
+                own, found = np.array(list(map(ord, monomer)), np.int32), []
+                for k, table in codes.items():
+                    n = min(k, len(own))
+                    differ = (table[:, :n] != own[:n]).sum(axis=1)
+                    at = int(differ.argmin())  # the first of the least: names are sorted
+                    found.append({"ed": int(differ[at]), "reference": by_length[k][at]})
+                out.append(min(found, key=lambda b: (b["ed"], b["reference"])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.struct([("ed", pa.int32()), ("reference", pa.string())]))], ["monomer", "b"])
+
+    return distinct.select("monomer").mapInArrow(search, "monomer string, b struct<ed:int,reference:string>") if references else distinct.limit(0).withColumn("b", F.struct(F.lit(0).alias("ed"), F.col("monomer").alias("reference")))

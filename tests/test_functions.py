@@ -1,6 +1,7 @@
 """Barcode functions, trimming, sources and statistics."""
 
 import gzip
+import random
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tagmill import config
 from tagmill.functions import umi as U
 from tagmill.operators import counting, kernels, trimming
-from tagmill.plans import statistics
+from tagmill.plans import pipeline, statistics
 from tagmill.sources import bam, tables
 
 
@@ -140,3 +141,23 @@ def test_names_and_bundles(spark):
 def test_config():
     got = config.parse("work_dir: /x\nfixed:\n  n: 50\n  birch_n_clusters: None\nvaried:\n  seq:\n  - 0.1\n  - 1e-3\n  list: [1, 2]\ndedup:\n  method: directional\n")
     assert got == {"work_dir": "/x", "fixed": {"n": 50, "birch_n_clusters": None}, "varied": {"seq": [0.1, 0.001], "list": [1, 2]}, "dedup": {"method": "directional"}}
+
+
+@pytest.mark.parametrize(("n", "lengths", "block"), [(10_500, (9,), None), (300, (9,), 70), (300, (7, 9), 70)])
+def test_healing_at_every_size(spark, monkeypatch, n, lengths, block):
+    if block:
+        monkeypatch.setattr(pipeline, "LIBRARY_BLOCK", block, raising=False)
+    rng = random.Random(n)
+    say = lambda bases: "".join(rng.choice(bases) for _ in range(rng.choice(lengths)))
+    known = set()
+    while len(known) < n:
+        known.add(say("ACG"))
+    monomers = [*sorted(known)[:10], *(say("ACG") for _ in range(20)), *(say("ACGTTT") for _ in range(20)), "TTTTTTTTT", "AC", None]
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=False))
+    want = {i: min((far(m, r), r) for r in known) if m else (None, None) for i, m in enumerate(monomers)}
+    reads = spark.createDataFrame([(i, m and "".join(3 * c for c in m)) for i, m in enumerate(monomers)], "id long, umi string")
+    library = spark.createDataFrame([(r,) for r in [*known, *sorted(known)[:5], None]], "reference string")
+    assert {r["id"]: (r["ed"], r["reference"]) for r in pipeline.heal(reads, library).collect()} == want
+    assert max(w[0] for w in want.values() if w[0] is not None) >= 2
+    assert {r["id"] for r in pipeline.heal(reads, library, most=2).collect()} == {i for i, w in want.items() if w[0] is not None and w[0] <= 2}
+    assert pipeline.heal(reads, library.limit(0)).where("reference is null").count() == len(monomers)
