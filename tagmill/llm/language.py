@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import settle, text_batches
 
 PER_LANGUAGE = 1500
-LANGUAGES = 32
+#: Languages of a broadcast model at most, each of 256 KB; more raise an error.
+LANGUAGES = 512
 BITS = 16
 #: Trigrams overlap: each byte is told three times.
 TEMPER = 1 / 3
@@ -73,11 +74,13 @@ def train(samples: list[tuple[str, str]]) -> dict:
 
 
 def sample(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each of the ``languages`` most frequent languages, by id hash."""
+    """At most ``per_language`` texts of each language, by id hash; over ``languages`` languages raise an error."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     out = []
-    common = known.groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(languages).collect()
-    for name in sorted(r[lang] for r in common):
+    names = sorted(r[lang] for r in known.select(lang).distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages")
+    for name in names:
         chosen = known.where(F.col(lang) == name).select(F.xxhash64(key).alias("h"), F.col(key).alias("k")).distinct().orderBy("h", "k").limit(per_language)
         rows = known.where(F.col(lang) == name).join(F.broadcast(chosen), F.col(key) == F.col("k")).groupBy("k").agg(F.min(text).alias("t")).orderBy("k").collect()
         out += [(name, r["t"]) for r in rows]

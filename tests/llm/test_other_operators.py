@@ -139,6 +139,21 @@ def test_language_of_unspaced_text_with_digits(spark):
     assert identify([(4, long, None)]) == [(4, "ja", True)]
 
 
+def test_all_labelled_languages_are_told(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(36):  # the later a language, the rarer
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(100 * i + j, " ".join(rng.choice(own) for _ in range(15)), f"l{i:02}", None) for j in range(2 + (36 - i) // 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    samples = language.sample(df)
+    assert sorted({name for name, _ in samples}) == [f"l{i:02}" for i in range(36)] and len(samples) == len(rows)
+    got = language.identify_documents(df, language.train(samples), carry=["doc_id"]).collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == {r[0]: r[2] for r in rows} and all(r["kept"] for r in got)
+    with pytest.raises(ValueError, match="35 languages"):
+        language.sample(df, languages=35)
+
+
 def test_page_parts(spark):
     f = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert f(language.host_of, "https://u:p@www.Example.DE:80/x") == "www.example.de" and f(language.declared_in, "<!doctype html><HTML class=a LANG='Pt-BR'>") == "pt"
