@@ -70,13 +70,17 @@ class Lists:
         return lower, upper
 
 
-def search_block(lists: Lists, queries: np.ndarray, floor: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places in the block that may be among its k best; ``floor`` has scores to reach."""
+def search_block(lists: Lists, queries: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+    """For each query the places in the block that may be among its k best; ``floor`` has scores to reach.
+
+    ``own`` (queries x vectors) marks a query's own rows, which take no part in the bounds.
+    """
     n, out = len(lists.vectors), [np.zeros(0, np.int64)] * len(queries)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     live, floor = np.arange(len(queries)), floor.copy()
     for depth in sorted({max(1, int(n * d)) for d in DEPTHS}):
         lower, upper = lists.bounds(up[live], down[live], depth)
+        lower[own[live]] = upper[own[live]] = -np.inf
         if n > k:
             floor[live] = np.maximum(floor[live], np.partition(lower, n - k, axis=1)[:, n - k])
         reach = upper >= floor[live, None]
@@ -124,14 +128,13 @@ def _searcher(shared, k: int, vector_block: int):
             lists = Lists(vectors) if size else None
             for at in range(0, len(ids), BATCH):
                 part = slice(at, at + BATCH)
-                # one more than k, as the query's own row may be among them
-                floor = np.array([s[-1] if len(s) >= k + 1 else -np.inf for s in scores[part]])
-                places = search_block(lists, queries[part], floor, k + 1) if size else [np.arange(len(own))] * len(queries[part])
+                floor = np.array([s[-1] if len(s) >= k else -np.inf for s in scores[part]])
+                places = search_block(lists, queries[part], floor, k, ids[part][:, None] == own) if size else [np.arange(len(own))] * len(queries[part])
                 for i, at_places in enumerate(places, at):
                     at_places = at_places[own[at_places] != ids[i]]
                     s = np.concatenate([scores[i], (vectors[at_places] @ queries[i]).astype(np.int64)])
                     v = np.concatenate([names[i], own[at_places]])
-                    keep = np.lexsort((v, -s))[: k + 1]
+                    keep = np.lexsort((v, -s))[:k]
                     scores[i], names[i] = s[keep], v[keep]
 
         for batch in batches:
@@ -150,8 +153,8 @@ def _searcher(shared, k: int, vector_block: int):
             take(size)
         for size, (ids, _) in shared.value.items():
             scores, names = best[size]
-            counts = [min(k, len(s)) for s in scores]
+            counts = [len(s) for s in scores]
             if sum(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([v[:k] for v in names])), pa.array(np.concatenate([s[:k] for s in scores]))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(names)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
 
     return search

@@ -154,6 +154,21 @@ def test_all_labelled_languages_are_told(spark):
         language.sample(df, languages=35)
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-20, 20, 6).astype(float).tolist()) for i in range(300)]
+    rows += [(i, (np.array(rows[i][1]) * 9 + j).tolist()) for i in (5, 6) for j in range(6)]  # a query's own rows score highest
+    df = spark.createDataFrame(rows, "vec_id long, q array<double>").coalesce(1)
+    queries = df.where("vec_id in (5, 6)")
+    got = [tuple(r) for r in topk.top_k(df, queries, k=2).collect()]
+    want = []
+    for i in (5, 6):
+        q = min(v for n, v in rows if n == i)
+        best = sorted((-int(np.dot(v, q)), n) for n, v in rows if n != i)[:2]
+        want += [(i, r, n, -s) for r, (s, n) in enumerate(best, 1)]
+    assert sorted(got) == want
+
+
 def test_page_parts(spark):
     f = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert f(language.host_of, "https://u:p@www.Example.DE:80/x") == "www.example.de" and f(language.declared_in, "<!doctype html><HTML class=a LANG='Pt-BR'>") == "pt"
