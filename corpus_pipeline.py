@@ -19,18 +19,29 @@ from tagmill.llm.q_token_files import write_and_read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; rows of an id go if any of its texts is rejected."""
+    """Documents of a known language, row by row: ids may be null or repeated."""
     model = language.train(language.sample(docs))
-    known = language.identify_documents(docs, model, carry=["doc_id"])
-    rejected = settle(known.where("not kept").select("doc_id"))
-    return filters.without(docs, rejected)
+    known = language.identify_documents(docs.withColumn("row_", filters.row_key(docs)), model, carry=["row_"])
+    rejected = settle(known.where("not kept").select("row_"))
+    return filters.without_rows(docs, rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest id."""
-    groups = signature_tree.join(docs.select("doc_id", "text"))
-    copies = settle(groups.where("component_id <> doc_id").select("doc_id"))
-    return filters.without(docs, copies, once=True)
+    """One document of each group of linked ones: the smallest id (null ids last), then by row hash.
+
+    Rows alike are one document; other rows with a null or repeated id are their own.
+    """
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        groups = signature_tree.join(docs.select("doc_id", "text"))
+        return filters.without(docs, settle(groups.where("component_id <> doc_id").select("doc_id")))
+    rows = docs.select(filters.row_key(docs).alias("row_"), "doc_id", "text").withColumn("s", F.xxhash64("row_"))
+    groups = signature_tree.join(rows.select(F.col("s").alias("doc_id"), "text")).select(F.col("doc_id").alias("s"), "component_id").distinct()
+    linked = settle(groups.where("component_id is not null").join(rows.select("s", "row_", "doc_id").distinct(), "s"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "s")
+    least = linked.groupBy("component_id").agg(F.min(order).alias("least"))
+    copies = settle(linked.join(least, "component_id").where(F.col("s") != F.col("least.s")).select("row_"))
+    return filters.without_rows(docs, copies, once=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,16 @@ def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, Data
     return pick(True), pick(False)
 
 
+def row_key(docs: DataFrame, key: str = "doc_id"):
+    """Id and hash of all columns: equal for rows alike only, never null."""
+    return F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.xxhash64(*docs.columns).cast("string"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, *, once: bool = False) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``gone.row_``; with ``once`` also one of rows alike only."""
+    return without(docs.withColumn("row_", row_key(docs)), gone, key="row_", once=once).drop("row_")
+
+
 def without(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", once: bool = False) -> DataFrame:
     """``docs`` without the ids of ``gone``; with ``once`` also one row of each id only (null ids all stay)."""
     special = gone.select(F.col(key).alias("k_")).where("k_ is not null").distinct().withColumn("gone_", F.lit(True))

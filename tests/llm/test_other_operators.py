@@ -182,6 +182,18 @@ def test_dropping_ids(spark):
     assert sorted(str(r["doc_id"]) for r in filters.without(df, gone, once=True).collect()) == ["1", "2", "None", "None"]
 
 
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = ("The %s and of thing that with %s or the people of this place have been there for a long time" % w for w in (("first", "one"), ("river", "mill"), ("winter", "lamp")))
+    rows = [(i, f"{a} {b} {i}", "en", "s") for i in range(100, 110)] + [(1, a, "en", "s"), (1, "12 34", "en", "s"), (None, "?!", "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (2, b, "en", "t"), (3, a, "en", "s"), (3, c, "en", "s"), (3, c, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    small = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.where("doc_id is null or doc_id < 100").collect()), key=str)
+    known = cp.language_id(spark, docs, SF)
+    assert small(known) == sorted([(1, a), (None, b), (None, b), (2, b), (3, a), (3, c), (3, c)], key=str)
+    assert small(cp.near_duplicates(spark, known, SF)) == [(1, a), (2, b), (3, c)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
