@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder (a temporary one if none is set)."""
-    context = df.sparkSession.sparkContext
+    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a local session may do without one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
