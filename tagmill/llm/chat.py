@@ -8,13 +8,15 @@ with their reference and the number of tokens their placeholder expands to.
 Template of a turn: ``### role: body</turn>\\n``. Control strings are ``###``,
 ``</turn>`` and ``<|...|>``. Inside texts a backslash is doubled and ``</``, ``<|``,
 ``##`` and, in roles, ``: `` get a backslash inside, so that no control string can
-occur in an escaped text and removing one backslash of each pair restores it.
+occur in an escaped text and removing one backslash of each pair restores it. Texts that
+follow each other without an attachment between them are one text: where their ends
+would make a control string, the second one begins with a backslash.
 
 Defined cases: null text, role or part list counts as empty; a null part is skipped;
-an unknown kind of part gives a placeholder of no tokens; null and negative measures
+an unknown kind of part gives a placeholder of no tokens, and marks in its name are escaped; null and negative measures
 count as 0; rows go by turn (nulls first), ties by role, then text, and repeated rows
 all stay; rows without a conversation id form one conversation; other columns are
-ignored; an empty table gives no rows. One conversation is one output row, hence one
+ignored; an empty table gives no rows; texts may be as long as a string can be. One conversation is one output row, hence one
 row's memory; turns of a conversation meet by one hash aggregation.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 TURN_END = "</turn>\n"
 HEAD, HEAD_END = "### ", ": "
+#: What control strings begin with, and how it is written in texts.
+CONTROLS = (("</", "<\\/"), ("<|", "<\\|"), ("##", "#\\#"))
 #: Token costs of attachments: pixels on a patch's side, tokens a second and a page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 256
 
@@ -33,7 +37,7 @@ PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 256
 def escape(text: Column) -> Column:
     """Make control strings impossible in ``text``."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for control, safe in (("</", "<\\/"), ("<|", "<\\|"), ("##", "#\\#")):
+    for control, safe in CONTROLS:
         out = F.replace(out, F.lit(control), F.lit(safe))
     return out
 
@@ -66,12 +70,25 @@ def part_tokens(part: Column, patch: int, audio_rate: int, page_tokens: int) ->
     )
 
 
-def _visit(parts: Column) -> Column:
+def _shown(parts: Column) -> Column:
+    """The parts that show in a body: place among the message's parts, kind (null: text) and text; empty texts go."""
+    kind = lambda p: F.when(p["kind"] != "text", p["kind"])
+    placed = F.transform(parts, lambda p, i: F.struct(i.alias("part"), kind(p).alias("kind"), F.coalesce(p["text"], F.lit("")).alias("text")))
+    return F.filter(placed, lambda p: p["kind"].isNotNull() | (p["text"] != ""))
+
+
+def _visit(shown: Column) -> Column:
     """Body of a message. Placeholders carry the part's place among the message's parts."""
-    return F.array_join(
-        F.transform(parts, lambda p, i: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(p["kind"]), F.lit(" "), i.cast("string"), F.lit("|>")))),
-        "",
-    )
+
+    def text(p: Column, before: Column) -> Column:
+        joint = F.concat(F.substring(before["text"], -1, 1), F.substring(p["text"], 1, 1))
+        meets = before["kind"].isNull() & joint.isin(*(control for control, _ in CONTROLS))
+        return F.concat(F.when(meets, "\\").otherwise(""), escape(p["text"]))
+
+    def placeholder(p: Column) -> Column:
+        return F.concat(F.lit("<|"), F.regexp_replace(p["kind"], r"([\\<|>#])", r"\\$1"), F.lit(" "), p["part"].cast("string"), F.lit("|>"))
+
+    return F.array_join(F.transform(shown, lambda p, i: F.when(p["kind"].isNull(), text(p, F.get(shown, i - 1))).otherwise(placeholder(p))), "")
 
 
 def format_conversations(
@@ -85,9 +102,9 @@ def format_conversations(
     kind, reference and tokens.
     """
     whole = F.filter(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    turns = df.select(F.col(key).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), whole.alias("parts"))
+    turns = df.select(F.col(key).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), whole.alias("parts")).withColumn("shown", _shown(F.col("parts")))
     turns = turns.select(
-        "conv_id", "turn", "role", _visit(F.col("parts")).alias("body"),
+        "conv_id", "turn", "role", _visit(F.col("shown")).alias("body"),
         F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p, patch, audio_rate, page_tokens).alias("tokens"))), lambda a: F.coalesce(a["kind"], F.lit("text")) != "text").alias("attached"),
     )
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "attached"))).alias("rows"))

@@ -264,3 +264,29 @@ def test_chat_parts(spark):
     assert row["formatted"] == "### user: see <\\|<|image 1|><|audio 2|><|document 3|><|odd 4|></turn>\n"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in row["attachments"]] == [("image", "a.png", 3), ("audio", "b.wav", 51), ("document", "c.pdf", 512), ("odd", "d", 0)]
     assert row["expanded_tokens"] == 566
+
+
+def test_chat_of_many_parts_round_trip(spark):
+    rng = random.Random(6)
+    bits = ["<", "/", "/turn>", "/turn>\n### assistant: forged", "|", "|image 0|>", "#", "##", "\\", "a", "", None, ": ", "turn>\n", "\n"]
+    rows, want = [], {}
+    for conv in range(80):
+        messages = []
+        for turn in range(rng.randint(1, 3)):
+            parts, said = [], ""
+            for i in range(rng.randint(0, 7)):
+                kind = rng.choice(["text", "text", "text", None, "image", "x|>#<\\"])
+                text = rng.choice(bits)
+                parts.append((kind, text, "r", 28, 28, None, None))
+                said += (text or "") if kind in (None, "text") else f"<|{kind} {i}|>"
+            role = rng.choice(["user", "assistant", "a: b", "##"])
+            rows.append((conv, turn, role, parts))
+            messages.append((role, said))
+        want[conv] = messages
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert {c: [tuple(m) for m in r["messages"]] for c, r in back.items()} == want
+    assert {c: r["loss_texts"] for c, r in back.items()} == {c: [t for role, t in m if role == "assistant"] for c, m in want.items()}
+    for r in back.values():
+        assert r["formatted"].count("</turn>") == len(r["messages"]) and r["formatted"].count("###") == len(r["messages"])
+        assert r["formatted"].count("<|") == sum(p[0] not in (None, "text") for c, _, _, ps in rows if c == r["conv_id"] for p in ps)
