@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that one Arrow batch holds at most, so that batches of long texts stay small.
 TEXT_BATCH = 256
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound the rows of an Arrow batch for operators that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to TEXT_BATCH, for plans with whole texts that run later.
 
+    It is only lowered, never raised, so that the plans of several operators go together.
+    """
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_BATCH:
+        spark.conf.set(BATCH_ROWS, str(TEXT_BATCH))
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The session's spark.checkpoint.dir holds; only where none is set (tests) a
-    temporary folder is made.
-    """
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = TEXT_BATCH):
+    """Rows of an Arrow batch for the plans that run inside; the session's own number comes back."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -38,10 +53,17 @@ def text_or_empty(column: str = "text"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for written tables, made if the session has none."""
+    """The cluster's shared folder for written tables (spark.checkpoint.dir).
+
+    A local session without one gets a temporary folder; on a cluster that would be no
+    shared place, so it is an error there.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagmill-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -49,10 +71,33 @@ def settle_table(df: DataFrame) -> DataFrame:
     """Like ``settle``, as a compressed Parquet table in the shared folder: for wide rows."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.settled_path = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str | DataFrame) -> None:
+    """Delete folders, or tables made by ``settle_table``, that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path if isinstance(path, str) else path.settled_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Collect garbage, so that Spark removes the shuffle files of steps that are settled."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def lean(run: Callable) -> Callable:
+    """A worker's function that first gives back to the system what earlier tasks of the worker have freed."""
+
+    def start(data):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+        return run(data)
+
+    return start

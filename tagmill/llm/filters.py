@@ -1,7 +1,9 @@
 """Dropping documents by id without moving the others' texts.
 
-A fixed-size bitmap of hashed ids tells, in one pass over the documents, the rows that
-surely stay; only the others are joined with the ids to drop.
+A bitmap of hashed ids, sized by their number, tells in one pass over the documents the
+rows that surely stay; only the others are joined with the ids to drop.
+
+Other columns may have any names: what is added for the work is named apart from them.
 """
 
 from __future__ import annotations
@@ -14,25 +16,41 @@ from pyspark.sql import functions as F
 
 from tagmill.llm.common import text_batches
 
-FILTER_BITS = 1 << 24
+#: Bits of a bitmap: sixteen a value (one of sixteen others passes), in these bounds (2 and 32 MB at most to the tasks).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of ``frames`` has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
 
+def bitmap(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """Bits of the hashed values of a column: tells values that are surely absent.
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Bits of the hashed values of a column, FILTER_BITS in all."""
-    at = F.pmod(F.hash(column), F.lit(FILTER_BITS))
+    More values than MOST_BITS is meant for let more absent ones pass, which costs but harms nothing.
+    """
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * df.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
     rows = df.select((at / 32768).cast("int").alias("b"), (at % 32768).cast("int").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r["b"]] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out.ravel()
 
 
-def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``column`` may be in the bitmap, and rows whose surely isn't."""
+def split(df: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``column`` may be among ``values`` (one column), and rows whose surely isn't."""
     spark = df.sparkSession
     text_batches(spark)
+    bits = bitmap(values, values.columns[0])
     shared = spark.sparkContext.broadcast(bits)
-    placed = df.withColumn("at_", F.pmod(F.hash(column), F.lit(FILTER_BITS)))
+    at_name = free_name("at_", df)
+    placed = df.withColumn(at_name, F.pmod(F.xxhash64(column), F.lit(8 * len(bits))).cast("int"))
 
     def pick(wanted):
         def run(batches):
@@ -41,7 +59,7 @@ def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, Data
                 has = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 yield batch.filter(pa.array(has == wanted))
 
-        return placed.mapInArrow(run, placed.schema).drop("at_")
+        return placed.mapInArrow(run, placed.schema).drop(at_name)
 
     return pick(True), pick(False)
 
@@ -52,20 +70,22 @@ def row_key(docs: DataFrame, key: str = "doc_id"):
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, *, once: bool = False) -> DataFrame:
-    """``docs`` without the rows whose ``row_key`` is in ``gone.row_``; with ``once`` also one of rows alike only."""
-    return without(docs.withColumn("row_", row_key(docs)), gone, key="row_", once=once).drop("row_")
+    """``docs`` without the rows whose ``row_key`` is in the first column of ``gone``; with ``once`` also one of rows alike only."""
+    name = free_name("row_", docs)
+    return without(docs.withColumn(name, row_key(docs)), gone.select(F.col(gone.columns[0]).alias(name)), key=name, once=once).drop(name)
 
 
 def without(docs: DataFrame, gone: DataFrame, *, key: str = "doc_id", once: bool = False) -> DataFrame:
     """``docs`` without the ids of ``gone``; with ``once`` also one row of each id only (null ids all stay)."""
-    special = gone.select(F.col(key).alias("k_")).where("k_ is not null").distinct().withColumn("gone_", F.lit(True))
+    k, drop, rank = (free_name(x, docs) for x in ("k_", "gone_", "rank_"))
+    special = gone.select(F.col(key).alias(k)).where(F.col(k).isNotNull()).distinct().withColumn(drop, F.lit(True))
     if once:
-        repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("k_", F.lit(False).alias("gone_"))
-        special = special.unionByName(repeated).groupBy("k_").agg(F.max("gone_").alias("gone_"))
-    moved, rest = split(docs, key, bitmap(special, "k_"))
-    moved = moved.join(special, F.col(key) == F.col("k_"), "left").where(~F.coalesce("gone_", F.lit(False)))
+        repeated = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(k)).agg(F.count("*").alias(rank)).where(F.col(rank) > 1).select(k, F.lit(False).alias(drop))
+        special = special.unionByName(repeated).groupBy(k).agg(F.max(drop).alias(drop))
+    moved, rest = split(docs, key, special.select(k))
+    moved = moved.join(special, F.col(key) == F.col(k), "left").where(~F.coalesce(F.col(drop), F.lit(False)))
     if once:
-        order = W.partitionBy("k_").orderBy(F.xxhash64(*docs.columns))
-        twice = moved.where(F.col("k_").isNotNull()).withColumn("r_", F.row_number().over(order)).where("r_ = 1")
-        moved = twice.select(*docs.columns).unionByName(moved.where(F.col("k_").isNull()).select(*docs.columns))
+        order = W.partitionBy(k).orderBy(F.xxhash64(*docs.columns))
+        twice = moved.where(F.col(k).isNotNull()).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+        moved = twice.select(*docs.columns).unionByName(moved.where(F.col(k).isNull()).select(*docs.columns))
     return moved.select(*docs.columns).unionByName(rest)
