@@ -118,23 +118,31 @@ def correct_dimer(umi: Column, seed: int | None = None) -> Column:
     return majority_vote(umi, 2, seed)
 
 
-def _draw(umi: Column, i: Column, what: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(umi, i, F.lit(what), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def draw(*key: Column | str | int) -> Column:
+    """A number in (0, 1] from the MD5 of the key's parts, joined by slashes: equal wherever it is drawn again."""
+    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]
+    hexed = F.substring(F.md5(F.concat_ws("/", *parts).cast("binary")), 1, 13)
+    return (F.conv(hexed, 16, 10).cast("long") + 1).cast("double") / float(1 << 52)
+
+
+def _place(umi: Column, i: Column, what: str, seed: int, n: int) -> Column:
+    """A drawn place from 1 to ``n``."""
+    return F.ceil(draw(umi, i, what, seed) * n).cast("int")
 
 
 def substitute(umi: Column, rate: float, seed: int) -> Column:
     """Each base replaced by another one with probability ``rate``."""
-    other = lambda c, i: F.substr(F.replace(F.lit(BASES), c, F.lit("")), F.floor(_draw(umi, i, "base", seed) * 3).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(_draw(umi, i, "sub", seed) < rate, other(c, i)).otherwise(c)), "")
+    other = lambda c, i: F.substr(F.replace(F.lit(BASES), c, F.lit("")), _place(umi, i, "base", seed, 3), F.lit(1))
+    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(draw(umi, i, "sub", seed) < rate, other(c, i)).otherwise(c)), "")
 
 
 def delete(umi: Column, rate: float, seed: int) -> Column:
-    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(_draw(umi, i, "del", seed) < rate, F.lit("")).otherwise(c)), "")
+    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(draw(umi, i, "del", seed) < rate, F.lit("")).otherwise(c)), "")
 
 
 def insert(umi: Column, rate: float, seed: int) -> Column:
-    new = lambda i: F.substr(F.lit(BASES), F.floor(_draw(umi, i, "new", seed) * 4).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(_draw(umi, i, "ins", seed) < rate, F.concat(c, new(i))).otherwise(c)), "")
+    new = lambda i: F.substr(F.lit(BASES), _place(umi, i, "new", seed, 4), F.lit(1))
+    return F.array_join(F.transform(_chars(umi), lambda c, i: F.when(draw(umi, i, "ins", seed) < rate, F.concat(c, new(i))).otherwise(c)), "")
 
 
 # error model of homotrimer barcodes

@@ -148,9 +148,9 @@ def overrepresented(spikes: DataFrame, most_reads: int, most_cells: int, umi: st
 def subsample_spikes(spikes: DataFrame, mean: float, seed: int = 42, cell: str = "cell", umi: str = "umi") -> DataFrame:
     """Cells with at least 0.8 mean spikes, each cut to a seeded normal number of distinct spikes."""
     distinct = spikes.select(cell, umi).distinct()
-    place = F.row_number().over(W.partitionBy(cell).orderBy(F.xxhash64(cell, umi, F.lit(seed)), umi))
+    place = F.row_number().over(W.partitionBy(cell).orderBy(F.md5(F.concat_ws("/", F.col(cell).cast("string"), umi, F.lit(str(seed))).cast("binary")), umi))
     size = F.count("*").over(W.partitionBy(cell))
-    u = lambda name: (F.pmod(F.xxhash64(cell, F.lit(name), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = lambda name: U.draw(F.col(cell), name, seed)
     normal = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * F.pi() * u("b"))
     return distinct.withColumn("n_", size).withColumn("p_", place).where((F.col("n_") >= 0.8 * mean) & (F.col("p_") <= F.round(mean + mean**0.5 * normal))).select(cell, umi)
 

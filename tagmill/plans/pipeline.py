@@ -69,6 +69,41 @@ def single_cell(reads: DataFrame, cell: str = "bc", gene: str = "XT", assigned:
     return Dedup(reads.where(F.col(assigned) == "Assigned") if assigned else reads, [cell, gene], **o)
 
 
+#: Grouping, barcode column and what a preset does to the reads first, by technology.
+PRESETS = {
+    "spikein": {"keys": ["CB"], "spikes": True},
+    "cmi": {"keys": ["CB"]},
+    "tresor": {"keys": ["CB", "XF"]},
+    "tksm": {"keys": ["CB", "XT"]},
+    "minnow": {"keys": ["CB", "XT"]},
+    "screadsim": {"keys": ["CB", "XT"]},
+    "asarusim": {"keys": ["CB", "XT"]},
+    "seqtech": {"keys": ["XT"]},
+}
+
+
+def preset(name: str, reads: DataFrame, *, umi: str = "MB", spikes: list[str] | None = None, contig: str = "contig", **options) -> Dedup:
+    """A technology's reads at its grouping; reads without a key or barcode take no part, of spike-ins only the named contigs'."""
+    if name not in PRESETS:
+        raise KeyError(f"no preset {name}")
+    keys = PRESETS[name]["keys"]
+    if PRESETS[name].get("spikes"):
+        if not spikes:
+            raise ValueError("name the contigs of the spike-ins")
+        reads = reads.where(F.col(contig).isin(spikes))
+    return Dedup(reads.dropna(subset=[*keys, umi]), keys, umi=umi, **options)
+
+
+def sweep(run: Dedup, method: str, parameter: str, values: list, **options) -> DataFrame:
+    """keys, the parameter's value and dedup_cnt of a method under each value, over the same nodes and edges."""
+    out = None
+    for value in values:
+        part = run.assign(method, **{parameter: value}, **options).groupBy(*run.keys).agg(F.sum((F.col("node") == F.col("rep")).cast("long")).alias("dedup_cnt"))
+        part = part.select(*run.keys, F.lit(value).alias(parameter), "dedup_cnt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def majority_vote(reads: DataFrame, keys: list[str], umi: str = "umi", k: int = 3, seed: int | None = None, read_id: str = "id") -> DataFrame:
     """keys, monomer, multimers, shortlisted (the last multimer by first read), cnt."""
     nodes = build_nodes(reads, keys, umi, read_id).withColumn("monomer", U.majority_vote(F.col("umi"), k, seed))

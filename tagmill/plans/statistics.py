@@ -71,6 +71,76 @@ def union_results(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
+#: Names that an id column goes by.
+ID_NAMES = ("transcript_id", "target_id")
+
+
+def counts_of(table: DataFrame) -> DataFrame:
+    """transcript_id and dedup_cnt of a result table; rows without a number go.
+
+    The id is a column of a known name, else the first one that is not the count.
+    """
+    if "dedup_cnt" not in table.columns:
+        raise ValueError("no column dedup_cnt")
+    names = [c for c in ID_NAMES if c in table.columns] or [c for c in table.columns if c != "dedup_cnt"]
+    if not names:
+        raise ValueError("no id column")
+    counts = table.select(F.col(names[0]).cast("string").alias("transcript_id"), F.col("dedup_cnt").cast("string").try_cast("double").alias("dedup_cnt"))
+    return counts.where(F.col("dedup_cnt").isNotNull() & ~F.isnan("dedup_cnt"))
+
+
+def file_map(methods: dict[str, str], rates: list[float], template: str) -> dict[str, dict[float, str]]:
+    """{method: {rate: path}} from a template with {method} and {er}."""
+    return {name: {rate: template.format(method=folder, er=rate) for rate in rates} for name, folder in methods.items()}
+
+
+def load_results(spark, files: dict[str, dict[float, str]], sep: str = "\t") -> DataFrame:
+    """method, error_rate, transcript_id, dedup_cnt of all files of a map."""
+    out = None
+    for method, rates in files.items():
+        for rate, path in rates.items():
+            part = counts_of(spark.read.csv(path, sep=sep, header=True)).select(F.lit(method).alias("method"), F.lit(float(rate)).alias("error_rate"), "transcript_id", "dedup_cnt")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
+def trace_table(edges: DataFrame, by: tuple[str, ...] = ("scenario", "method", "metric", "approved")) -> DataFrame:
+    """by, and over permutations the mean, largest and smallest number of edges of different and of same origin."""
+    return edges.groupBy(*by).agg(*(f(c).alias(c + end) for c in ("diff_origin", "same_origin") for f, end in ((F.avg, ""), (F.max, "_max"), (F.min, "_min"))))
+
+
+def sweep_error(counts: DataFrame, truth: float, value: str = "cnt") -> DataFrame:
+    """``error`` of a parameter sweep: (count - truth) / truth for each scenario, parameter and its value."""
+    return counts.withColumn("error", (F.col(value) - F.lit(truth)) / F.lit(float(truth)))
+
+
+def representative_matches(traced: DataFrame, nodes: DataFrame, origins: DataFrame, components: DataFrame) -> DataFrame:
+    """cc, approved, rep, origin, same, diff: ends of a component's edges by whether they have the representative's origin.
+
+    The representative is the node of most reads among the edges' ends, the first by name of equals.
+    An end stands in the lists as often as it ends an edge, in order.
+    """
+    ends = traced.select("approved", F.explode(F.array("src", "dst")).alias("node"))
+    ends = ends.join(nodes.select("node", "cnt"), "node").join(origins.select("node", "origin"), "node").join(components.select("node", "cc"), "node")
+    best = ends.groupBy("cc", "approved").agg(F.min(F.struct((-F.col("cnt")).alias("c"), "node", "origin")).alias("r"))
+    named = ends.join(best.select("cc", "approved", F.col("r.node").alias("rep"), F.col("r.origin").alias("of")), ["cc", "approved"])
+    lists = lambda same: F.sort_array(F.collect_list(F.when((F.col("origin") == F.col("of")) == same, F.col("node"))))
+    return named.groupBy("cc", "approved", "rep", "of").agg(lists(True).alias("same"), lists(False).alias("diff")).withColumnRenamed("of", "origin")
+
+
+def spike_union(tables: dict[str, DataFrame]) -> DataFrame:
+    """All spike summaries with the method as a column."""
+    out = None
+    for method, df in tables.items():
+        part = df.withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no tables")
+    return out
+
+
 def expression_stats(long: DataFrame, by: str, others: int, value: str = "value") -> DataFrame:
     """by, mean and population variance of a long matrix whose zeros are absent; ``others`` is the other axis' length."""
     s, q = F.sum(value), F.sum(F.col(value) * F.col(value))
@@ -118,6 +188,6 @@ def stratified(df: DataFrame, by: str, share: float, seed: int = 42, order: str
     """A share of each stratum, at least rounded, by a seeded hash order."""
     from pyspark.sql import Window as W
 
-    place = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(order, F.lit(seed)), order))
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.md5(F.concat_ws("/", F.col(order).cast("string"), F.lit(str(seed))).cast("binary")), order))
     size = F.count("*").over(W.partitionBy(by))
     return df.withColumn("p_", place).withColumn("n_", size).where(F.col("p_") <= F.round(F.col("n_") * share)).drop("p_", "n_")
