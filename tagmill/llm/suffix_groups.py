@@ -11,18 +11,23 @@ document with a smaller id.
 2. A family of one document has nothing to remove. If all of a family's segments are the
    same bytes (inside a copied passage), each window's first document is the family's
    smallest. Families with different segments (at the edges of passages) are open.
-3. Windows of open families whose hash another document has too are put in one text and its suffix array is built in linear
-   time: suffixes are grouped by first byte; groups are processed from the largest down,
-   each suffix finds its previous smaller one, whose Lyndon prefix grows by the group's
-   as often as the group follows; then one pass from the smallest suffix up emits each
-   group's order through the same pointers. Windows equal in the array share their smallest document.
-
-Equal whole texts are one text with its smallest id, so groups of copies cost one.
-Texts are moved only where something is repeated: a fixed-size bitmap tells the rest.
+3. Windows of open families whose hash another document has too are put in one text a
+   family, each distinct piece once, and its suffix array is built in linear time:
+   suffixes are grouped by first byte; groups are processed from the largest down, each
+   suffix finds its previous smaller one, whose Lyndon prefix grows by the group's as
+   often as the group follows; then one pass from the smallest suffix up emits each
+   group's order through the same pointers. Windows equal in the array share their
+   smallest document. A family with one distinct piece needs no order.
+
+Equal whole texts are one text with its smallest id, so groups of copies cost one; they
+are told by 128 bits of hash. The segments of a closed family agree in 64 bits of digest
+and 32 bits and the block's of the gram. Texts are moved only where a segment is shared,
+and a second time only where bytes go; a bitmap, sized by their number, tells the rest.
 
 Defined cases: null text is empty; null ids count as smaller than all others; rows of
-one id never remove from each other; texts shorter than ``length`` stay whole; repeated
-rows are a row each; other columns are ignored; an empty table gives no rows.
+one id never remove from each other; texts shorter than ``length`` stay whole; a very
+long text is cut into pieces of CHUNK windows, without a window lost; repeated rows are a
+row each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,23 +36,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import release, settle, settle_table, text_batches
+from tagmill.llm.common import discard, lean, release, settle, settle_table, text_batches
+from tagmill.llm.filters import split
 
 LENGTH = 50
 #: Bytes of the grams that name families: longer ones are shared by chance less often, but cut texts finer.
 GRAM = 24
 CHUNK = 1 << 20
 BLOCK_TEXT = 24 << 20
-FILTER_BITS = 1 << 24
 FLUSH = 1 << 20
+#: Bytes of open segments that a group of families has, about, and segments that a task packs at once.
 GROUPS_TEXT = 1 << 20
+PACK = 1 << 16
+#: Window hashes that are compared at once.
+WINDOWS = 1 << 20
+#: Text hashes that may stand for several texts each.
+MIXED = 1000
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Suffix array of a text of positive integers, by grouping Lyndon prefixes."""
+    """Suffix array of a text of positive integers, by grouping Lyndon prefixes.
+
+    A group's members are always held in text order: previous smaller places rise with the
+    place, so the lists that split off rise too. The different counts of a group are sorted;
+    there are at most the square root of twice their sum of them, so time stays linear.
+    """
     n = len(text)
     text = [*text, 0]  # the end is smaller than all
     members: dict[int, list[int]] = {}
@@ -68,7 +85,6 @@ def suffix_array(text: list[int]) -> list[int]:
     while end:
         g = ends[end]
         own = [i for i in members.pop(g) if group[i] == g]
-        own.sort()
         followed: dict[int, int] = {}
         for i in own:
             j = i - 1
@@ -311,52 +327,121 @@ def _marks(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     return block, names[own[picked]], (place[sort] * 2 + still_open[picked]).astype(np.uint32)
 
 
-def _extract(length: int, blocks: int):
-    """Spans of segments that go (family null) and the segments of open families."""
+def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Spans in order of their starts, those that touch as one."""
+    if not len(start):
+        return np.zeros((0, 2), np.int64)
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return np.stack([start[first], reach[np.append(first[1:] - 1, len(start) - 1)]], axis=1).astype(np.int64)
+
+
+#: Columns of distinct segments (with the number of places of each), and of their places.
+DISTINCT = {"families": np.uint64, "digests": np.uint64, "sizes": np.int32, "counts": np.int32}
+PLACES = {"keys": np.int64, "ids": np.int64, "starts": np.int64}
+FOUND = ", ".join(["group int", *(f"{c} binary" for c in (*DISTINCT, *PLACES, "segments")), "key long", "spans binary"])
+
+
+def _extract(length: int, blocks: int, groups: int):
+    """Spans of segments that go (with ``key``), and the segments of open families, packed by group of families."""
+    types = [pa.int32(), *[pa.binary()] * 8, pa.int64(), pa.binary()]
+    names = ["group", *DISTINCT, *PLACES, "segments", "key", "spans"]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def pack(held):
+        family, digest, keys, ids, starts, sizes = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
+        data = np.frombuffer(b"".join(x[6] for x in held), np.uint8)
+        at = np.cumsum(sizes, dtype=np.int64) - sizes
+        group = (family % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((digest, family, group))
+        family, digest, keys, ids, starts, sizes, group, at = (x[order] for x in (family, digest, keys, ids, starts, sizes, group, at))
+        # equal segments go once, with all their places
+        new = np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (digest[1:] != digest[:-1]))))
+        count = np.diff(np.append(new, len(family))).astype(np.int32)
+        family, digest, sizes, group, at = (x[new] for x in (family, digest, sizes, group, at))
+        data, edge = _gathered(data, at, sizes)
+        places = np.append(new, len(keys))
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))).tolist()
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = slice(places[a], places[b])
+            rows.append((int(group[a]), *(x[a:b].tobytes() for x in (family, digest, sizes, count)), *(x[own].tobytes() for x in (keys, ids, starts)), data[edge[a] : edge[b]].tobytes(), None, None))
+        return batch_of(rows)
 
     def run(batches):
-        cut = Segments(length)
+        cut, held, count = Segments(length), [], 0
         for batch in batches:
-            rows = []
+            gone = []
             for row in batch.to_pylist():
                 data = row["text"].encode("utf-8", "surrogatepass")
-                start, end, gram, _ = cut.of(data)
-                block = _block(gram, blocks)
-                spans, marks, at = [], np.frombuffer(row["marks"], np.uint32), 0
-                for told, count in zip(np.frombuffer(row["blocks"], np.int32), np.frombuffer(row["counts"], np.uint32), strict=True):
-                    own, mark = np.flatnonzero(block == told), marks[at : at + count]
-                    at += count
-                    gone = own[mark[mark % 2 == 0] // 2]
-                    spans.append(np.stack([start[gone], end[gone]], axis=1))
-                    for i in own[mark[mark % 2 == 1] // 2].tolist():
-                        rows.append((row["key"], row["id"], int(gram[i].view(np.int64)), int(start[i]), data[start[i] : end[i]], None))
-                spans = np.concatenate(spans).astype(np.int64)
-                if len(spans):
-                    rows.append((row["key"], row["id"], None, None, None, spans.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["key", "id", "family", "start", "segment", "spans"])
+                start, end, gram, digest = cut.of(data)
+                block, marks = _block(gram, blocks), np.frombuffer(row["marks"], np.uint32)
+                closed, opened, at = [], [], 0
+                order = np.argsort(block, kind="stable")  # the text's segments by block, in order
+                bound = np.searchsorted(block[order], np.arange(blocks + 1))
+                for told, n in zip(np.frombuffer(row["blocks"], np.int32).tolist(), np.frombuffer(row["counts"], np.uint32).tolist(), strict=True):
+                    own, mark = order[bound[told] : bound[told + 1]], marks[at : at + n]
+                    at += n
+                    closed.append(own[mark[mark % 2 == 0] // 2])
+                    opened.append(own[mark[mark % 2 == 1] // 2])
+                closed, opened = np.sort(np.concatenate(closed)), np.concatenate(opened)
+                if len(closed):
+                    gone.append((int(gram[closed[0]] % np.uint64(groups)), *[None] * 8, row["key"], _merged(start[closed], end[closed]).tobytes()))
+                if len(opened):
+                    size = (end - start)[opened].astype(np.int32)
+                    pieces = b"".join([data[a:b] for a, b in zip(start[opened].tolist(), end[opened].tolist(), strict=True)])
+                    held.append((gram[opened], digest[opened], np.full(len(opened), row["key"]), np.full(len(opened), row["id"]), start[opened].astype(np.int64), size, pieces))
+                    count += len(opened)
+                    if count >= PACK:
+                        yield pack(held)
+                        held, count = [], 0
+            if gone:
+                yield batch_of(gone)
+        if held:
+            yield pack(held)
 
     return run
 
 
-def _repeated_windows(cut: Segments, segments: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows may be in another document too (by hash, so none is missed)."""
-    size = np.array([len(x) for x in segments])
-    b = np.frombuffer(b"".join(segments), np.uint8)
-    cut._powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * cut.power[: len(b)], dtype=np.uint64)))
-    first = np.cumsum(size) - size
-    count = size - length + 1
-    owner = np.repeat(np.arange(len(segments)), count)
-    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    code = _mixed((sums[at + length] - sums[at]) * cut.inverse[at])
-    order = np.argsort(code, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
-    own = ids[owner[order]]
-    several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
-    mask = np.empty(len(code), bool)
-    mask[order] = np.repeat(several, np.diff(np.append(start, len(code))))
-    return np.split(mask, np.cumsum(count)[:-1])
+def _gathered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``data`` one after the other, and the edges between them."""
+    edge = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return data[np.repeat(at - edge[:-1], sizes) + np.arange(edge[-1])], edge
+
+
+def _repeated_windows(cut: Segments, data: np.ndarray, at: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of segments may be in several documents (by hash, so none is missed), and each segment's first window.
+
+    ``low`` and ``high`` are a segment's first and last documents. Hashes are compared in as
+    many parts as keep a part near WINDOWS of them, so memory stays bounded.
+    """
+    count = (sizes - length + 1).astype(np.int64)
+    base = np.cumsum(count) - count
+    total = int(count.sum())
+    parts, mask = max(1, total // WINDOWS), np.zeros(total, bool)
+    steps = np.searchsorted(base, np.arange(0, total, WINDOWS))
+    steps = np.unique(np.append(steps, len(sizes)))
+    for part in range(parts):
+        codes, windows, owners = [], [], []
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            text, edge = _gathered(data, at[a:b], sizes[a:b])
+            cut._powers(len(text) + 1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[text] * cut.power[: len(text)], dtype=np.uint64)))
+            first = np.repeat(edge[:-1] - (base[a:b] - base[a]), count[a:b]) + np.arange(count[a:b].sum())
+            code = _mixed((sums[first + length] - sums[first]) * cut.inverse[first])
+            own = np.flatnonzero((code >> np.uint64(20)) % np.uint64(parts) == part)
+            codes.append(code[own])
+            windows.append(own + base[a])
+            owners.append(np.repeat(np.arange(a, b, dtype=np.int32), count[a:b])[own])
+        code, window, owner = np.concatenate(codes), np.concatenate(windows), np.concatenate(owners)
+        if len(code):
+            order = np.argsort(code, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+            several = np.minimum.reduceat(low[owner[order]], start) != np.maximum.reduceat(high[owner[order]], start)
+            mask[window[order]] = np.repeat(several, np.diff(np.append(start, len(code))))
+    return mask, base
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -365,35 +450,82 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(length: int):
-    """Spans that go in open families; a group has whole families."""
+    """Spans that go in open families, and the spans that are known already; a group has whole families."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("family", "segment", "id", "key", "start")), strict=True))
-        least: dict[tuple[int, bytes], int] = {}
-        for family, segment, name, _, _ in rows:
-            least[family, segment] = min(name, least.get((family, segment), name))
-        items = list(least)
-        masks = _repeated_windows(Segments(length), [x for _, x in items], np.array(list(least.values())), length) if items else []
-        # what may be repeated is compared by the suffix array of its family
-        parts: dict[int, list[tuple[tuple[int, bytes], int, int]]] = {}
-        for item, mask in zip(items, masks, strict=True):
-            for a, b in _runs(mask):
-                parts.setdefault(item[0], []).append((item, a, b))
-        found = {item: np.full(len(item[1]) - length + 1, name) for item, name in least.items()}
-        for own in parts.values():
-            for (item, a, b), first in zip(own, first_documents([(i[1][a : b + length - 1], least[i]) for i, a, b in own], length), strict=True):
-                found[item][a:b] = first
-        keys, spans = [], []
-        for family, segment, name, key, start in rows:
-            gone = np.flatnonzero(found[family, segment] < name)
-            if len(gone):
-                keys.append(key)
-                spans.append(np.stack([gone + start, gone + start + length], axis=1).astype(np.int64).tobytes())
+        known = table.filter(pc.is_valid(table.column("key")))
+        out = [(known.column("key").to_pylist(), known.column("spans").to_pylist())]
+        packed = table.filter(pc.is_valid(table.column("families")))
+        if packed.num_rows:
+            out.append(_compare_packed(packed, length))
+        keys, spans = (sum((list(x[i]) for x in out), []) for i in (0, 1))
         return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     return run
 
 
+def _compare_packed(table: pa.Table, length: int) -> tuple[list[int], list[bytes]]:
+    """Keys of texts and their spans."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    family, digest, sizes, counts = (get(n, k) for n, k in DISTINCT.items())
+    keys, ids, starts = (get(n, k) for n, k in PLACES.items())
+    data = get("segments", np.uint8)
+    # equal segments of several tasks are one
+    order = np.lexsort((digest, family))
+    new = np.concatenate(([True], (family[order][1:] != family[order][:-1]) | (digest[order][1:] != digest[order][:-1])))
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new) - 1
+    at = (np.cumsum(sizes, dtype=np.int64) - sizes)[order[new]]
+    family, sizes = family[order[new]], sizes[order[new]]
+    owner = np.repeat(which, counts)
+    order = np.argsort(owner, kind="stable")
+    keys, ids, starts = keys[order], ids[order], starts[order]
+    places = np.searchsorted(owner[order], np.arange(len(sizes) + 1))
+    low, high = np.minimum.reduceat(ids, places[:-1]), np.maximum.reduceat(ids, places[:-1])
+    del digest, order, owner, which, new
+    mask, base = _repeated_windows(Segments(length), data, at, sizes, low, high, length)
+    # runs of windows that may be repeated, none of two segments
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[base] = edge[-1] = True
+    begin = np.flatnonzero(mask & (edge[:-1] | np.concatenate(([True], ~mask[:-1]))))
+    end = np.flatnonzero(mask & (edge[1:] | np.concatenate((~mask[1:], [True])))) + 1
+    segment = np.searchsorted(base, begin, "right") - 1
+    offset = begin - base[segment]
+    text, first_byte = data.tobytes(), at[segment] + offset
+    del edge, mask, data
+    # what may be repeated is compared by the suffix array of its family, each distinct piece once with its smallest document
+    pieces: dict[int, dict[bytes, list[int]]] = {}
+    for r, (f, a, n) in enumerate(zip(family[segment].tolist(), first_byte.tolist(), (end - begin).tolist(), strict=True)):
+        pieces.setdefault(f, {}).setdefault(text[a : a + n + length - 1], []).append(r)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # text keys, starts and ends of spans
+    for own in pieces.values():
+        least = [int(low[segment[r]].min()) for r in own.values()]
+        if len(own) > 1:
+            firsts = first_documents(list(zip(own, least, strict=True)), length)
+        else:
+            firsts = [np.full(len(p) - length + 1, x) for p, x in zip(own, least, strict=True)]
+        for rows, first in zip(own.values(), firsts, strict=True):
+            lowest, highest = first.min(), first.max()
+            for r in rows:
+                u = segment[r]
+                if lowest >= high[u]:
+                    continue
+                own_ids = ids[places[u] : places[u + 1]]
+                own_keys, own_starts = keys[places[u] : places[u + 1]], starts[places[u] : places[u + 1]] + offset[r]
+                whole = own_ids > highest
+                found.append((own_keys[whole], own_starts[whole], own_starts[whole] + len(first) + length - 1))
+                for i in np.flatnonzero(~whole & (own_ids > lowest)).tolist():
+                    for a, b in _runs(first < own_ids[i]):
+                        found.append((own_keys[i : i + 1], own_starts[i : i + 1] + a, own_starts[i : i + 1] + b + length - 1))
+    if not found:
+        return [], []
+    key, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist() if len(key) else [0]
+    return key[cut[:-1]].tolist(), [_merged(start[a:b], stop[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _cut(batches):
     """Lengths, removed bytes, runs and digest of what is left."""
     for batch in batches:
@@ -415,63 +547,55 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """Fixed-size bitmap of hashed values: tells values that are surely absent."""
-    at = F.pmod(F.hash(column), F.lit(FILTER_BITS))
-    rows = df.select((at / 32768).cast("int").alias("b"), (at % 32768).cast("int").alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in rows:
-        out[r["b"]] = np.frombuffer(bytes(r["m"]), np.uint8)
-    return out.ravel()
-
+def _keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, id (never null), key of the text and text of each row; and the least id and number of rows of each text.
 
-def _pick(shared, wanted: bool):
-    """Rows whose key the bitmap has, or has not; the last column is the key's place in it."""
-
-    def run(batches):
-        bitmap = shared.value
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            has = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(has == wanted))
-
-    return run
+    Equal keys mean equal texts: 64 bits of hash, checked by 64 others. Texts that only the
+    others tell apart (one pair in 10**10 texts, about) get keys from both.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    null_id = -(1 << 63)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(null_id)).alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    other = F.xxhash64(F.lit("other"), "text")
+    texts = settle(rows.select("id", "key", other.alias("o"), F.octet_length("text").alias("n_bytes")).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"), F.min("o").alias("o"), F.max("o").alias("p")))
+    mixed = [r["key"] for r in texts.where("o <> p").select("key").limit(MIXED + 1).collect()]
+    if mixed:
+        if len(mixed) > MIXED:
+            raise ValueError(f"over {MIXED} text hashes stand for several texts")
+        rows = rows.withColumn("key", F.when(F.col("key").isin(mixed), F.xxhash64("key", other)).otherwise(F.col("key")))
+        texts = settle(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.max(F.octet_length("text")).alias("n_bytes")))
+    return rows, texts.select("key", "least", "n", "n_bytes")
 
 
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, block_text: int = BLOCK_TEXT, kept_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``kept_bytes`` the bytes left) of every row."""
     spark = docs.sparkSession
     text_batches(spark)
-    body = F.coalesce(F.col(text), F.lit(""))
-    null_id = -(1 << 63)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(null_id)).alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, total // block_text)
-    dealt = rows.select("id", "key", "text").mapInArrow(_deal(length, blocks), "block int, keys binary, ids binary, counts binary, grams binary, digests binary")
-    told = dealt.groupBy("block").applyInArrow(_judge(blocks), "home int, block int, keys binary, counts binary, marks binary")
-    told = settle(told.groupBy("home").applyInArrow(_by_text, "key long, blocks binary, counts binary, marks binary"))
+    rows, texts = _keyed(docs, key, text)
+    total = texts.agg(F.sum(F.col("n") * F.col("n_bytes"))).first()[0] or 0
+    blocks, groups = max(1, total // block_text), max(1, total // (2 * GROUPS_TEXT))
+    dealt = rows.select("id", "key", "text").mapInArrow(lean(_deal(length, blocks)), "block int, keys binary, ids binary, counts binary, grams binary, digests binary")
+    told = dealt.groupBy("block").applyInArrow(lean(_judge(blocks)), "home int, block int, keys binary, counts binary, marks binary")
+    told = settle_table(told.groupBy("home").applyInArrow(lean(_by_text), "key long, blocks binary, counts binary, marks binary"))
     del dealt
     release(spark)
-    texts = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    special = settle(texts.join(told.select("key").withColumn("is_told", F.lit(True)), "key", "left").where("n > 1 or is_told"))
-    shared = spark.sparkContext.broadcast(_bitmap(special, "key"))
-    placed = rows.withColumn("at", F.pmod(F.hash("key"), F.lit(FILTER_BITS)))
-    schema = "doc_id long, id long, key long, text string, at int"
-    moved = placed.mapInArrow(_pick(shared, True), schema)
     # one row a text: its smallest document
-    firsts = moved.join(told.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).join(special.select(F.col("key").alias("k2"), "least"), F.col("key") == F.col("k2")).where("id = least")
-    found = settle_table(firsts.select("key", "id", "text", "blocks", "counts", "marks").mapInArrow(_extract(length, blocks), "key long, id long, family long, start long, segment binary, spans binary"))
-    del firsts
+    shared, _ = split(rows, "key", told.select("key"))
+    firsts = shared.join(told.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).join(texts.select(F.col("key").alias("k2"), "least"), F.col("key") == F.col("k2")).where("id = least")
+    found = firsts.select("key", "id", "text", "blocks", "counts", "marks").mapInArrow(lean(_extract(length, blocks, groups)), FOUND)
+    spans = found.groupBy("group").applyInArrow(lean(_compare(length)), "key long, spans binary")
+    spans = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    # texts move again where bytes go; copies of a text go whole
+    special = texts.join(spans, "key", "left").where(F.col("spans").isNotNull() | (F.col("n") > 1) & (F.col("n_bytes") >= length))
+    special = settle_table(special.select(F.col("key").alias("k"), "least", "spans"))
+    del shared, firsts, found, spans
+    discard(spark, told)
     release(spark)
-    groups = max(1, (found.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // GROUPS_TEXT)
-    opened = found.where("family is not null").withColumn("group", F.pmod("family", F.lit(groups))).groupBy("group").applyInArrow(_compare(length), "key long, spans binary")
-    spans = found.where("spans is not null").select("key", "spans").unionByName(opened).groupBy(F.col("key").alias("k")).agg(F.collect_list("spans").alias("spans"))
-    decided = special.select("key", "least").join(spans, F.col("key") == F.col("k"), "left").select(F.col("key").alias("k"), "least", "spans")
-    joined = moved.join(decided, F.col("key") == F.col("k"), "left")
+    moved, rest = split(rows, "key", special.select("k"))
     is_copy = (F.col("id") > F.col("least")) & (F.octet_length("text") >= length)
+    joined = moved.join(special, F.col("key") == F.col("k"), "left")
     done = joined.select("doc_id", "text", F.coalesce(is_copy, F.lit(False)).alias("whole"), F.when(F.col("id") == F.col("least"), F.col("spans")).alias("spans"))
     cut = done.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    rest = placed.mapInArrow(_pick(shared, False), schema)
     rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
     out = cut.unionByName(rest)
     return out if kept_bytes else out.drop("kept")
