@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import settle
+from tagmill.llm.filters import free_name
 
 #: Words are maximal runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,8 +107,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     (id, text hash); identical rows of one id share their copies.
     """
     taken = mix(docs, **options).where("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).where("copies > 0")
-    name = options.get("key", "doc_id")
-    keyed = docs.withColumn("h_", F.xxhash64(options.get("text", "text")))
-    joined = keyed.join(copies, F.col(name).eqNullSafe(F.col("k")) & (F.col("h_") == F.col("h")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    k, h, n, copy = (free_name(x, docs) for x in ("k_", "h_", "copies_", "copy_"))
+    copies = taken.groupBy(F.col("doc_id").alias(k), F.col("text_hash").alias(h)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(n)).where(F.col(n) > 0)
+    name, text = options.get("key", "doc_id"), options.get("text", "text")
+    joined = docs.join(copies, F.col(name).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
