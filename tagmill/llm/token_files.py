@@ -8,13 +8,19 @@ the shard and, as arrays, the ids and token counts of the documents that start i
 Documents never straddle blocks; a block closes at ``BLOCK_IDS`` ids, so a reader finds
 id t by the block offsets and the bit t * width inside, without reading what is before.
 
-Defined cases: null text is empty and holds the end id only; documents go by id (nulls
+Words are encoded once and remembered where the tokenizer's normaliser, pre-tokenizer and
+model are the known ones (CHUNKED) for which encoding white-space-free chunks apart gives
+the ids of the whole text; with any other tokenizer every text is encoded whole.
+
+Defined cases: null text is empty and holds the end id only; a very long text is one
+block of its own, with the memory that takes; documents go by id (nulls
 first), then text hash, repeated rows all stay; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 import uuid
@@ -26,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import shared_folder, text_batches
+from tagmill.llm.common import arrow_rows, lean, settle_table, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 17
-#: Words whose ids a task remembers.
-CACHE_WORDS = 1 << 19
+#: Bytes of words and their ids that a worker remembers in each of two generations, about.
+CACHE_BYTES = 48 << 20
+#: Bytes of an entry besides its characters and ids.
+ENTRY_BYTES = 180
 #: Bytes of text a shard has, about.
 SHARD_BYTES = 32 << 20
 BLOCKS = "part int, block int, first long, n_ids long, width int, doc_ids array<long>, counts array<int>, packed binary"
@@ -70,6 +78,30 @@ _PRINTABLE = [b for r in ((0x21, 0x7F), (0xA1, 0xAD), (0xAE, 0x100)) for b in ra
 _ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: The parts of a tokenizer for which chunks between white space can be encoded apart.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: And of its model; added tokens have to hold a "<" and no white space, and to be found before normalising.
+CHUNKED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def chunked(path: str) -> bool:
+    """Whether chunks between white space can be encoded apart by the tokenizer of a file."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    added = [t["content"] for t in told["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or "<" not in t["content"] or t["content"].split() != [t["content"]]]
+    return not added and all(told[k] == v for k, v in CHUNKED.items()) and all(told["model"].get(k) == v for k, v in CHUNKED_MODEL.items())
+
+
 class WordCache(dict):
     """Ids of white-space-free chunks, as little-endian 32-bit bytes, encoded on first sight.
 
@@ -79,8 +111,8 @@ class WordCache(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer, self.old = path, Tokenizer.from_file(path), {}
-        self.model = self.tokenizer.model
+        self.path, self.tokenizer, self.old, self.held = path, Tokenizer.from_file(path), {}, 0
+        self.model, self.chunked = self.tokenizer.model, chunked(path)
 
     @staticmethod
     def of_worker(path: str) -> "WordCache":
@@ -94,10 +126,13 @@ class WordCache(dict):
         out = self.old.get(chunk)
         if out is None:
             out = self._new(chunk)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
+        cost = ENTRY_BYTES + 2 * len(chunk) + len(out)
+        if self.held + cost > CACHE_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
-        self[chunk] = out
+        if cost <= CACHE_BYTES // 64:  # a text without blanks is no word to remember
+            self[chunk] = out
+            self.held += cost
         return out
 
     def _new(self, chunk: str) -> bytes:
@@ -119,14 +154,13 @@ class WordCache(dict):
 
         Python also splits at U+001C to U+001F, which the tokenizer doesn't; such texts are encoded whole.
         """
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.chunked or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", vocabulary: int, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode, close each document with ``end_id`` and write the shards of ``docs`` to ``folder``."""
-    text_batches(docs.sparkSession)
     width = bit_width(max(vocabulary, end_id + 1))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -160,7 +194,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
         if names:
             yield close()
 
-    rows.mapInArrow(encode, BLOCKS).write.parquet(folder)
+    with arrow_rows(docs.sparkSession):
+        rows.mapInArrow(lean(encode), BLOCKS).write.parquet(folder)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,7 +212,6 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of ``folder``."""
     base = manifest(spark, folder).select("part", "base")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     blocks = spark.read.schema(BLOCKS).parquet(folder).join(F.broadcast(base), "part").select("base", "first", "width", "doc_ids", "counts", "packed")
 
     def check(batches):
@@ -189,7 +223,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["base"] + row["first"], pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # written at once, as only few blocks may be in a batch
+    with arrow_rows(spark, 8):
+        return settle_table(blocks.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_ids(spark: SparkSession, folder: str, part: int, start: int, stop: int) -> np.ndarray:
