@@ -75,6 +75,20 @@ def test_suffix_groups(docs, empty, block_text):
     assert suffix_groups.remove(empty).count() == 0
 
 
+def test_suffix_groups_of_long_and_hot_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = say(90), say(300)
+    rows = [(i, "\n".join(rng.choice([line, say(30), passage[:200], passage[100:]]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    rows += [(1000, passage * 40 + say(3000)), (1001, say(2000) + passage * 40), (999, line), (None, line), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for chunk, windows, pack in ((1 << 20, 1 << 20, 1 << 16), (700, 500, 100)):  # a text over CHUNK, hashes and segments in parts
+        for name, value in (("CHUNK", chunk), ("WINDOWS", windows), ("PACK", pack)):
+            monkeypatch.setattr(suffix_groups, name, value)
+        got = sorted(map(tuple, suffix_groups.remove(df, block_text=20_000).collect()), key=str)
+        assert got == removed(rows, 50)
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):
@@ -238,6 +252,24 @@ def test_word_cache_equals_whole_encoding():
         assert cache.encode(text) == cache.whole(text)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    cache = token_files.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("Hello World, the cat sat.", " a  b\nC", "", "x" * 1000):
+        assert cache.encode(text) == cache.whole(text)
+    assert token_files.chunked(tokenizer_path()) and not cache.chunked
+
+
+def test_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    cache = token_files.WordCache(tokenizer_path())
+    for i in range(2000):
+        word = "".join(chr(97 + int(d)) for d in str(i))
+        assert cache.encode(f"{word} ab") == cache.whole(f"{word} ab")
+        assert len(cache) + len(cache.old) < 250
+    assert cache.encode("ab" * 5000) == cache.whole("ab" * 5000)
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     bits = ["\\", "#", "##", "###", "</turn>", "</", "<|", "|>", "\n", ": ", "### user: ", "é", "x", " "]
