@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import decontaminate, filters, language, mixing, signature_tree
-from tagmill.llm.common import settle, shared_folder, table
+from tagmill.llm.common import discard, settle, shared_folder, table
 from tagmill.llm.q_mixing import quality_weights
 from tagmill.llm.q_token_files import write_and_read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language, row by row: ids may be null or repeated."""
-    model = language.train(language.sample(docs))
-    known = language.identify_documents(docs.withColumn("row_", filters.row_key(docs)), model, carry=["row_"])
-    rejected = settle(known.where("not kept").select("row_"))
+    model = language.train(language.training_texts(docs))
+    name = filters.free_name("row_", docs)
+    known = language.identify_documents(docs.withColumn(name, filters.row_key(docs)), model, carry=[name])
+    rejected = settle(known.where("not kept").select(name))
     return filters.without_rows(docs, rejected)
 
 
@@ -78,4 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return docs
