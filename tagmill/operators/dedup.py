@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.operators.graphs import both_ways, settle, with_components
@@ -36,30 +35,38 @@ def cluster(nodes: DataFrame, edges: DataFrame, keys: list[str], tie: str = "nod
     return _columns(df.join(best, "cc"), keys)
 
 
-def _ranked(nodes: DataFrame, edges: DataFrame, tie: str = "node") -> DataFrame:
-    df = with_components(nodes, edges)
-    return df.withColumn("r", F.row_number().over(W.partitionBy("cc").orderBy(F.col("cnt").desc(), tie)))
+def _rank(tie: str):
+    """What a node's rank in its component goes by; smaller is better."""
+    return F.struct((-F.col("cnt")).alias("c"), F.col(tie).alias("t"), F.col("node").alias("node"))
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Barcodes are popped by rank until they and their neighbours cover the component.
 
-    The number popped is the largest, over nodes, of the least rank among a node and its
-    neighbours. A node that isn't popped belongs to its lowest-ranked neighbour.
+    The last one popped is the worst, over nodes, of the better of a node and its best
+    neighbour. A node that isn't popped belongs to its best neighbour. Ranks are compared,
+    never numbered, so no component is sorted in one task.
     """
-    df = settle(_ranked(nodes, edges))
-    near = both_ways(edges).join(df.select(F.col("node").alias("src"), F.col("r").alias("r_src")), "src").groupBy("dst").agg(F.min(F.struct("r_src", "src")).alias("near"))
+    df = settle(with_components(nodes, edges).withColumn("r", _rank("node")))
+    near = both_ways(edges).join(df.select(F.col("node").alias("src"), F.col("r").alias("near")), "src").groupBy("dst").agg(F.min("near").alias("near"))
     df = df.join(near.withColumnRenamed("dst", "node"), "node", "left")
-    popped = df.groupBy("cc").agg(F.max(F.least("r", F.col("near.r_src"))).alias("popped"))
+    popped = df.groupBy("cc").agg(F.max(F.least("r", F.coalesce("near", "r"))).alias("popped"))
     df = df.join(popped, "cc")
-    return _columns(df.withColumn("rep", F.when(F.col("r") <= F.col("popped"), F.col("node")).otherwise(F.col("near.src"))), keys)
+    return _columns(df.withColumn("rep", F.when(F.col("r") <= F.col("popped"), F.col("node")).otherwise(F.col("near.node"))), keys)
+
+
+def _arcs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst, cnt_src, cnt_dst of every edge both ways; counts are looked up only if the edges have none."""
+    if {"cnt_src", "cnt_dst"} <= set(edges.columns):
+        ends = ("src", "dst", "cnt_src", "cnt_dst")
+        return edges.select(*ends).unionByName(edges.select(*(F.col(b).alias(a) for a, b in zip(ends, ("dst", "src", "cnt_dst", "cnt_src"), strict=True))))
+    counts = nodes.select("node", "cnt")
+    return both_ways(edges).join(counts.withColumnsRenamed({"node": "src", "cnt": "cnt_src"}), "src").join(counts.withColumnsRenamed({"node": "dst", "cnt": "cnt_dst"}), "dst")
 
 
 def directed(nodes: DataFrame, edges: DataFrame, ratio: float = 2.0) -> DataFrame:
     """Edges u -> v with cnt(u) >= ratio * cnt(v) - 1, with both counts."""
-    counts = nodes.select("node", "cnt")
-    e = both_ways(edges).join(counts.withColumnsRenamed({"node": "src", "cnt": "cnt_src"}), "src").join(counts.withColumnsRenamed({"node": "dst", "cnt": "cnt_dst"}), "dst")
-    return e.where(F.col("cnt_src") >= ratio * F.col("cnt_dst") - 1)
+    return _arcs(nodes, edges).where(F.col("cnt_src") >= ratio * F.col("cnt_dst") - 1)
 
 
 def directional(nodes: DataFrame, edges: DataFrame, keys: list[str], tie: str = "node", ratio: float = 2.0) -> DataFrame:
@@ -68,12 +75,11 @@ def directional(nodes: DataFrame, edges: DataFrame, keys: list[str], tie: str =
     Labels go along the edges and through each other (what reaches a node's label reaches
     the node), so rounds are about the logarithm of the longest path.
     """
-    df = settle(with_components(nodes, edges))
-    arcs = settle(directed(nodes, edges, ratio).select("src", "dst"))
-    label = F.struct((-F.col("cnt")).alias("c"), F.col(tie).alias("t"), F.col("node").alias("node"))
+    df, arcs = with_components(nodes, edges), directed(nodes, edges, ratio).select("src", "dst")
     if arcs.count() <= LOCAL_ARCS:
-        return _columns(df.join(_best_reaching(df, arcs, tie), "node"), keys)
-    labels = _by_rounds(settle(df.select("node", label.alias("label"))), arcs)
+        return _columns(df.join(_in_tasks(df, arcs, tie, _reach), "node"), keys)
+    df, arcs = settle(df), settle(arcs)
+    labels = _by_rounds(settle(df.select("node", _rank(tie).alias("label"))), arcs)
     return _columns(df.join(labels.select("node", F.col("label.node").alias("rep")), "node"), keys)
 
 
@@ -91,35 +97,57 @@ def _by_rounds(labels: DataFrame, arcs: DataFrame) -> DataFrame:
             return labels
 
 
-def _best_reaching(df: DataFrame, arcs: DataFrame, tie: str) -> DataFrame:
-    """node, rep: the same by vectorised rounds in tasks that hold whole components."""
+def _in_tasks(df: DataFrame, arcs: DataFrame, tie: str, walk) -> DataFrame:
+    """node, rep: ``walk`` over the arcs in tasks that hold whole components, nodes by rank."""
     groups = 64
-    place = F.row_number().over(W.partitionBy("cc").orderBy(F.col("cnt").desc(), tie, "node")).cast("long")
-    ranked = df.select("node", "cc", place.alias("place"), F.pmod(F.xxhash64("cc"), F.lit(groups)).alias("g"))
-    ends = ranked.select(F.col("node").alias("src"), "g").join(arcs, "src").select("g", "src", "dst")
-    told = ranked.select("g", "node", "place", F.col("cc").alias("other")).unionByName(ends.select("g", F.col("src").alias("node"), F.lit(0).cast("long").alias("place"), F.col("dst").alias("other")))
-    return told.groupBy("g").applyInArrow(_reach_group, "node bigint, rep bigint")
-
-
-def _reach_group(table: pa.Table) -> pa.Table:
-    node, place, other = (table.column(c).to_numpy() for c in ("node", "place", "other"))
-    is_node = place > 0
-    names, rank, cc = node[is_node], place[is_node], other[is_node]
-    order = np.lexsort((rank, cc))  # by component, then rank: a smaller place in this order is a better node
-    names = names[order]
-    at = np.argsort(names)
-    find = lambda x: at[np.searchsorted(names, x, sorter=at)]
-    src, dst = find(node[~is_node]), find(other[~is_node])
-    label = np.arange(len(names))
+    ranked = df.select("node", "cnt", F.col(tie).alias("tie"), "cc", F.pmod(F.xxhash64("cc"), F.lit(groups)).alias("g"))
+    ends = ranked.select(F.col("node").alias("src"), "g").join(arcs.select("src", "dst"), "src")
+    kind = ranked.schema["tie"].dataType
+    told = ranked.select("g", "node", "cnt", "tie", F.col("cc").alias("other")).unionByName(ends.select("g", F.col("src").alias("node"), F.lit(0).cast("long").alias("cnt"), F.lit(None).cast(kind).alias("tie"), F.col("dst").alias("other")))
+    return told.groupBy("g").applyInArrow(_group_of(walk), "node bigint, rep bigint")
+
+
+def _group_of(walk):
+    def run(table: pa.Table) -> pa.Table:
+        node, cnt, other = (table.column(c).to_numpy() for c in ("node", "cnt", "other"))
+        is_node = cnt > 0
+        names, cc, tie = node[is_node], other[is_node], np.array(table.column("tie").filter(pa.array(is_node)).to_pylist())
+        # by component, then rank: a smaller place in this order is a better node
+        names = names[np.lexsort((names, tie, -cnt[is_node], cc))]
+        at = np.argsort(names)
+        find = lambda x: at[np.searchsorted(names, x, sorter=at)]
+        best = walk(len(names), find(node[~is_node]), find(other[~is_node]))
+        return pa.table({"node": names, "rep": names[best]})
+
+    return run
+
+
+def _reach(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The best node that reaches each one, by vectorised rounds."""
+    label = np.arange(n)
     while True:
         new = label.copy()
         np.minimum.at(new, dst, label[src])
         new = np.minimum(new, new[new])
         if np.array_equal(new, label):
-            return pa.table({"node": names, "rep": names[label]})
+            return label
         label = new
 
 
+def _take(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """By rank, a node that is not taken takes those its arcs lead to."""
+    order = np.lexsort((dst, src))
+    dst, cut = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    taker = [-1] * n
+    for i in range(n):
+        if taker[i] < 0:
+            taker[i] = i
+            for j in dst[cut[i] : cut[i + 1]]:
+                if taker[j] < 0:
+                    taker[j] = i
+    return np.array(taker, np.int64)
+
+
 def trace(assignment: DataFrame, nodes: DataFrame, edges: DataFrame, ratio: float = 2.0) -> DataFrame:
     """src, dst, approved: an edge is approved if it may be walked and both ends share the molecule."""
     arcs = directed(nodes, edges, ratio).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("walked", F.lit(True))
@@ -132,12 +160,24 @@ def trace(assignment: DataFrame, nodes: DataFrame, edges: DataFrame, ratio: floa
 def greedy(nodes: DataFrame, edges: DataFrame, keys: list[str], may_take: Column | None = None, tie: str = "node") -> DataFrame:
     """By rank, a node not yet taken represents itself and takes its untaken neighbours.
 
-    ``may_take`` limits it to neighbours, over cnt_src (taker) and cnt_dst. A node is a
+    ``may_take`` limits it to neighbours, over cnt_src (taker) and cnt_dst. Up to LOCAL_ARCS
+    arcs are walked in tasks that hold whole components. Beyond it, a node is a
     representative if no better-ranked node that may take it is one; each round decides
     the nodes whose takers are decided.
     """
-    df = settle(with_components(nodes, edges))
-    rank = lambda side: F.struct((-F.col("cnt")).alias("c"), F.col(tie).alias("t")).alias(f"rank_{side}")
+    df, all_arcs = with_components(nodes, edges), _arcs(nodes, edges)
+    if all_arcs.count() <= LOCAL_ARCS:
+        first = F.col("cnt_src") > F.col("cnt_dst")
+        if tie == "node":
+            better = first | (F.col("cnt_src") == F.col("cnt_dst")) & (F.col("src") < F.col("dst"))
+        else:
+            ties = lambda side: nodes.select(F.col("node").alias(side), F.col(tie).alias(f"tie_{side}"))
+            all_arcs = all_arcs.join(ties("src"), "src").join(ties("dst"), "dst")
+            better = first | (F.col("cnt_src") == F.col("cnt_dst")) & (F.struct("tie_src", "src") < F.struct("tie_dst", "dst"))
+        arcs = all_arcs.where(better if may_take is None else better & may_take)
+        return _columns(df.join(_in_tasks(df, arcs, tie, _take), "node"), keys)
+    df = settle(df)
+    rank = lambda side: F.struct((-F.col("cnt")).alias("c"), F.col(tie).alias("t"), F.col("node").alias("n")).alias(f"rank_{side}")
     ends = lambda side: df.select(F.col("node").alias(side), F.col("cnt").alias(f"cnt_{side}"), rank(side))
     arcs = both_ways(edges).join(ends("src"), "src").join(ends("dst"), "dst").where("rank_src < rank_dst")
     arcs = settle((arcs.where(may_take) if may_take is not None else arcs).select("src", "dst", "rank_src"))

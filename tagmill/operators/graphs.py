@@ -34,31 +34,36 @@ def _masked(umi: Column, places: tuple[int, ...]) -> Column:
     return umi
 
 
-def build_edges(nodes: DataFrame, keys: list[str], k: int = 1, rule: str = "eq", length: int | None = None) -> DataFrame:
+def build_edges(nodes: DataFrame, keys: list[str], k: int = 1, rule: str = "eq", length: int | None = None, counts: bool = False) -> DataFrame:
     """keys, src, dst, ed with src < dst: barcodes of one group and length at distance k (``le``: up to k).
 
+    With ``counts`` also cnt_src and cnt_dst, so that methods need not look them up.
+
     Barcodes within distance k agree once the k places where they differ are masked, so an
     equi-join on (keys, mask) finds all pairs without comparing all. For k = 1 a pair
     meets in exactly one mask. ``length`` is the longest barcode, found by a scan if not given.
     """
     if k == 0:
-        return nodes.limit(0).select(*keys, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("ed"))
+        none = nodes.limit(0).select(*keys, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("ed"), F.lit(0).cast("long").alias("cnt_src"), F.lit(0).cast("long").alias("cnt_dst"))
+        return none if counts else none.drop("cnt_src", "cnt_dst")
     length = length or nodes.agg(F.max(F.length("umi"))).first()[0] or 0
     masks = [m for m in combinations(range(length), min(k, length))] if length else []
     if not masks:
-        return build_edges(nodes, keys, 0)
+        return build_edges(nodes, keys, 0, counts=counts)
     array = F.array(*(F.when(F.length("umi") > m[-1], _masked(F.col("umi"), m)) for m in masks))
     # short barcodes have fewer masks; those no longer than k all meet under one
     array = F.when(F.length("umi") <= k, F.array(F.repeat(F.lit("*"), F.length("umi")))).otherwise(F.filter(array, lambda m: m.isNotNull()))
-    side = nodes.select(*keys, "node", "umi", F.explode(F.array_distinct(array)).alias("mask"))
-    left = side.select(*keys, "mask", F.col("node").alias("src"), F.col("umi").alias("umi_src"))
-    right = side.select(*keys, "mask", F.col("node").alias("dst"), F.col("umi").alias("umi_dst"))
+    more = ["cnt"] if counts else []
+    side = nodes.select(*keys, "node", "umi", *more, F.explode(F.array_distinct(array)).alias("mask"))
+    left = side.select(*keys, "mask", F.col("node").alias("src"), F.col("umi").alias("umi_src"), *(F.col(c).alias(f"{c}_src") for c in more))
+    right = side.select(*keys, "mask", F.col("node").alias("dst"), F.col("umi").alias("umi_dst"), *(F.col(c).alias(f"{c}_dst") for c in more))
     pairs = left.join(right, [*keys, "mask"]).where("src < dst")
+    both = [f"{c}_{end}" for c in more for end in ("src", "dst")]
     if k == 1:
-        return pairs.select(*keys, "src", "dst", F.lit(1).alias("ed"))
+        return pairs.select(*keys, "src", "dst", F.lit(1).alias("ed"), *both)
     ed = U.hamming(F.col("umi_src"), F.col("umi_dst"))
     pairs = pairs.withColumn("ed", ed).where(F.col("ed") == k if rule == "eq" else F.col("ed") <= k)
-    return pairs.select(*keys, "src", "dst", "ed").distinct()
+    return pairs.select(*keys, "src", "dst", "ed", *both).distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -77,13 +82,14 @@ def average_distance(nodes: DataFrame, keys: list[str]) -> DataFrame:
     From base counts by place: a place adds the pairs of unequal bases, so no pair is formed.
     Barcodes of a group count to the shortest one's length.
     """
-    sized = nodes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.length("umi")).alias("len"))
-    places = nodes.select(*keys, F.posexplode(F.filter(F.split("umi", ""), lambda c: c != "")).alias("place", "base"))
-    counts = places.groupBy(*keys, "place", "base").agg(F.count("*").alias("c"))
-    same = counts.groupBy(*keys, "place").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"))
-    total = same.join(sized, keys).where("place < len").groupBy(*keys).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2 - F.col("same")).alias("d"))
-    mean = F.col("d") / (F.col("n") * (F.col("n") - 1) / 2)
-    return sized.join(total, keys, "left").select(*keys, F.when(F.col("n") > 1, F.ceil(F.round(F.coalesce(mean, F.lit(0.0)), 9)).cast("double")).otherwise(-1.0).alias("ave_ed"))
+    # place 0 stands for the whole barcode, so it counts them all; a place beyond the shortest barcode counts fewer
+    letters = F.concat(F.array(F.lit("")), F.filter(F.split("umi", ""), lambda c: c != ""))
+    counts = nodes.select(*keys, F.posexplode(letters).alias("place", "base")).groupBy(*keys, "place", "base").agg(F.count("*").alias("c"))
+    by_place = counts.groupBy(*keys, "place").agg(F.sum("c").alias("all"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"))
+    places = by_place.groupBy(*keys).agg(F.max("all").alias("n"), F.collect_list(F.when(F.col("place") > 0, F.struct("all", "same"))).alias("places"))  # one a letter of the longest barcode
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    d = F.aggregate(F.filter("places", lambda p: p["all"] == F.col("n")), F.lit(0.0), lambda s, p: s + pairs - p["same"])
+    return places.select(*keys, F.when(F.col("n") > 1, F.ceil(F.round(d / pairs, 9)).cast("double")).otherwise(-1.0).alias("ave_ed"))
 
 
 __all__ = ["average_distance", "both_ways", "build_edges", "build_nodes", "numbered", "settle", "with_components"]

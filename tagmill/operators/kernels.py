@@ -8,23 +8,69 @@ from itertools import product
 import numpy as np
 
 
-def markov_clusters(adjacency: np.ndarray, inflation: float = 1.6, expansion: int = 2, iterations: int = 100, prune: float = 1e-3) -> list[list[int]]:
-    """Markov clustering: expansion and inflation of the column-stochastic walk until it stands still."""
-    m = adjacency.astype(float).copy()
-    np.fill_diagonal(m, 1.0)
-    m /= m.sum(axis=0)
+#: Products of a sparse multiplication that are held at once.
+PRODUCTS = 1 << 21
+
+
+class Columns:
+    """A sparse matrix by columns: rows and values of each, in order of rows."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int):
+        order = np.lexsort((row, col))
+        row, col, value = row[order], col[order], value[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (col[1:] != col[:-1])))) if len(row) else np.zeros(0, np.int64)
+        self.row, self.col, self.n = row[first], col[first], n
+        self.value = np.add.reduceat(value, first) if len(first) else value
+        self.start = np.searchsorted(self.col, np.arange(n + 1))
+
+    def times(self, other: "Columns") -> "Columns":
+        """The product, by bounded groups of columns of ``other``."""
+        width = np.diff(self.start)[other.row]  # entry (i, j) of other brings column i
+        upto = np.concatenate(([0], np.cumsum(width)))
+        parts, a = [], 0
+        while a < other.n:
+            b = max(a + 1, int(np.searchsorted(upto[other.start], upto[other.start[a]] + PRODUCTS, "right")) - 1)
+            own = slice(other.start[a], other.start[b])
+            w = width[own]
+            at = np.repeat(self.start[other.row[own]] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            part = Columns(self.row[at], np.repeat(other.col[own], w), self.value[at] * np.repeat(other.value[own], w), self.n)
+            parts.append((part.row, part.col, part.value))
+            a = b
+        return Columns(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.n)
+
+    def scaled(self) -> "Columns":
+        """Columns that sum to one."""
+        self.value = self.value / np.bincount(self.col, self.value, self.n)[self.col]
+        return self
+
+
+def markov_clusters(n: int, src: np.ndarray, dst: np.ndarray, inflation: float = 1.6, expansion: int = 2, iterations: int = 100, prune: float = 1e-3) -> list[list[int]]:
+    """Markov clustering of a graph of ``n`` nodes: expansion and inflation of the column-stochastic walk until it stands still.
+
+    Columns are sparse: values below ``prune`` go (a column's largest stays), so a column
+    has at most 1 / prune entries and memory grows with the nodes, not with their square.
+    """
+    loop = np.arange(n)
+    pairs = np.unique(np.stack([np.concatenate([src, dst, loop]), np.concatenate([dst, src, loop])]).astype(np.int64), axis=1)
+    m = Columns(pairs[0], pairs[1], np.ones(pairs.shape[1]), n).scaled()
     for _ in range(iterations):
         last = m
-        m = np.linalg.matrix_power(m, expansion) ** inflation
-        m /= m.sum(axis=0)
-        top = m.argmax(axis=0)
-        keep = m >= prune
-        keep[top, np.arange(len(m))] = True
-        m = np.where(keep, m, 0.0)
-        m /= m.sum(axis=0)
-        if np.allclose(m, last):
+        for _ in range(expansion - 1):
+            m = m.times(last)
+        m.value = m.value**inflation
+        m.scaled()
+        order = np.lexsort((m.row, -m.value, m.col))  # the first of a column is its largest, the smallest row of equals
+        top = order[np.searchsorted(m.col[order], loop)]
+        keep = m.value >= prune
+        keep[top] = True
+        m = Columns(m.row[keep], m.col[keep], m.value[keep], n).scaled()
+        if len(m.row) == len(last.row) and np.array_equal(m.row, last.row) and np.array_equal(m.col, last.col) and np.allclose(m.value, last.value):
             break
-    clusters = {tuple(np.flatnonzero(m[i]).tolist()) for i in np.flatnonzero(m.diagonal() > 0)}
+    attractors = np.unique(m.row[m.row == m.col])
+    own = np.flatnonzero(np.isin(m.row, attractors))
+    by_row = own[np.lexsort((m.col[own], m.row[own]))]
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(m.row[by_row]) != 0, [True])))
+    clusters = {tuple(m.col[by_row[a:b]].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)}
     return [list(c) for c in sorted(clusters)]
 
 

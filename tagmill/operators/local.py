@@ -31,14 +31,16 @@ def _rank(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(["cnt", "node"], ascending=[False, True], ignore_index=True)
 
 
-def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    at = {n: i for i, n in enumerate(frame["node"])}
-    m = np.zeros((len(frame), len(frame)))
-    for i, near in enumerate(frame["near"]):
-        for n in near:
-            if n in at:
-                m[i, at[n]] = m[at[n], i] = 1.0
-    return m
+def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours by place in the frame."""
+    near = frame["near"]
+    dst = np.concatenate([np.asarray(x, np.int64) for x in near]) if len(near) else np.zeros(0, np.int64)
+    src = np.repeat(np.arange(len(frame)), [len(x) for x in near])
+    names = frame["node"].to_numpy()
+    order = np.argsort(names)
+    at = order[np.minimum(np.searchsorted(names, dst, sorter=order), max(len(names) - 1, 0))] if len(names) else dst
+    known = names[at] == dst if len(dst) else np.zeros(0, bool)
+    return src[known], at[known]
 
 
 def _apply(df: DataFrame, by: list[str], keys: list[str], labels) -> DataFrame:
@@ -61,7 +63,7 @@ def _first_of(label: np.ndarray) -> np.ndarray:
 
 def _mcl_labels(frame: pd.DataFrame, inflation: float, expansion: int, iterations: int) -> np.ndarray:
     label = np.full(len(frame), -1)
-    for k, own in enumerate(K.markov_clusters(_matrix(frame), inflation, expansion, iterations)):
+    for k, own in enumerate(K.markov_clusters(len(frame), *_pairs(frame), inflation, expansion, iterations)):
         label[own] = k
     return _first_of(label)
 

@@ -25,7 +25,7 @@ class Dedup:
         self.reads = reads.withColumn(umi, collapse(F.col(umi))) if collapse else reads
         self.keys, self.umi, self.read_id, self.quality = keys, umi, read_id, quality
         self.nodes = settle(build_nodes(self.reads, keys, umi, read_id))
-        self.edges = settle(build_edges(self.nodes, keys, ed, rule))
+        self.edges = settle(build_edges(self.nodes, keys, ed, rule, counts=True))
 
     def assign(self, method: str, **options) -> DataFrame:
         if method in dedup.METHODS:

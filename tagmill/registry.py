@@ -31,7 +31,7 @@ def _nodes(spark, sf):
 
 def _graph(spark, sf):
     nodes = _nodes(spark, sf)
-    return nodes, graphs.settle(graphs.build_edges(nodes, GENE, 1, length=6))
+    return nodes, graphs.settle(graphs.build_edges(nodes, GENE, 1, length=6, counts=True))
 
 
 # sources and parsing
@@ -99,7 +99,7 @@ def c14(s, d):
 # graph
 query("e1_umi_histogram", f"WITH {NODES_SQL} SELECT gene, umi, cnt, node FROM nodes")(lambda s, d: graphs.build_nodes(reads(s, d), GENE).select("gene", "umi", "cnt", "node"))
 query("f1_node_numbers", f"WITH {NODES_SQL} SELECT gene, umi, row_number() OVER (PARTITION BY gene ORDER BY node) - 1 AS node_id FROM nodes")(lambda s, d: graphs.numbered(graphs.build_nodes(reads(s, d), GENE), GENE).select("gene", "umi", F.col("node_id").cast("long").alias("node_id")))
-query("d2_hamming_edges", f"WITH {NODES_SQL} SELECT gene, src, dst, 1 AS ed FROM edges")(lambda s, d: _graph(s, d)[1])
+query("d2_hamming_edges", f"WITH {NODES_SQL} SELECT gene, src, dst, 1 AS ed FROM edges")(lambda s, d: graphs.build_edges(_nodes(s, d), GENE, 1, length=6))
 query("d3_hamming_edges_le2", f"WITH {NODES_SQL} SELECT a.gene, a.node AS src, b.node AS dst, hamming(a.umi, b.umi)::INTEGER AS ed FROM nodes a JOIN nodes b ON a.gene = b.gene AND a.node < b.node AND hamming(a.umi, b.umi) <= 2")(lambda s, d: graphs.build_edges(graphs.build_nodes(reads(s, d), GENE), GENE, 2, "le", 6))
 query("d1_all_pairs", f"WITH {NODES_SQL} SELECT a.gene, a.node AS src, b.node AS dst, hamming(a.umi, b.umi)::INTEGER AS ed FROM nodes a JOIN nodes b ON a.gene = b.gene AND a.node < b.node AND hamming(a.umi, b.umi) = 2")(lambda s, d: summary.all_pairs(graphs.build_nodes(reads(s, d), GENE), GENE, 2))
 

@@ -1,6 +1,9 @@
 """BAM as a Spark data source in plain Python: BGZF blocks and records by zlib and struct.
 
-Each file is a partition. ``bam_fields`` prunes columns, ``tag_whitelist`` picks tags.
+The path may be a list, a folder or a pattern. Each file is a partition: records have no
+mark that tells where one starts, so a file without an index cannot be entered midway.
+``id`` is the file's number above the record's (ID_BITS bits), so it is unique over all
+files of a read. ``bam_fields`` prunes columns, ``tag_whitelist`` picks tags.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tagmill.sources.files import expand, store_of
+
+#: Bits of an id that hold a record's number in its file.
+ID_BITS = 40
 _BASES = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
 FIELDS = {"id": "bigint", "qname": "string", "flag": "int", "chrom": "string", "pos": "int", "mapq": "int", "cigar": "string", "seq": "string", "qual": "binary", "mate_chrom": "string", "mate_pos": "int", "tlen": "int", "is_read1": "boolean", "is_read2": "boolean", "is_reverse": "boolean", "tags": "map<string,string>"}
@@ -124,12 +131,14 @@ class BamReader(DataSourceReader):
         self.path, self.fields, self.wanted = path, fields, wanted
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.path.split(",")]
+        return [InputPartition((i, path)) for i, (path, _) in enumerate(expand(self.path, ".bam"))]
 
     def read(self, partition: InputPartition):
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(partition.value) if "://" in partition.value or partition.value.startswith("file:") else (fs.LocalFileSystem(), partition.value)
-        with store.open_input_stream(path, compression=None) as stream:
+        number, path = partition.value
+        store, inner = store_of(path)
+        with store.open_input_stream(inner, compression=None) as stream:
             for r in records(stream):
+                if r["id"] >> ID_BITS:
+                    raise ValueError(f"over 2**{ID_BITS} records in {path}")
+                r["id"] |= number << ID_BITS
                 yield tuple([r[f] for f in self.fields] + [r["tags"].get(t) for t in self.wanted])

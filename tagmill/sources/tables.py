@@ -21,16 +21,12 @@ def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = Tr
     return spark.read.csv(rows.rdd.map(lambda r: r["value"]), sep=sep, header=header, **options)
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq, qual of (gzipped) FASTQ files; a record is four lines, files are split by record mark.
+def fastq(spark: SparkSession, path: str, **options) -> DataFrame:
+    """name, seq, qual of (gzipped) FASTQ files, a list, a folder or a pattern; an incomplete record is an error."""
+    from tagmill.sources.fastq import FastqDataSource
 
-    Lines of a file stay in order in a partition only unsplit, so records are found by their
-    header's text: the reader cuts at newline-at signs that are followed by a sequence and a plus line.
-    """
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n", "\n").alias("t"))
-    lines = text.select(F.split("t", "\n").alias("l")).where(F.size("l") >= 4)
-    records = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.slice("l", i * 4 + 1, 4))).alias("r"))
-    return records.select(F.substr(F.col("r")[0], F.lit(2)).alias("name"), F.col("r")[1].alias("seq"), F.col("r")[3].alias("qual"))
+    spark.dataSource.register(FastqDataSource)
+    return spark.read.format("fastq").options(**options).load(path)
 
 
 def write_fastq(df: DataFrame, path: str, names: list[str], seq: str = "seq", quality: str = "s") -> None:

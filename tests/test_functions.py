@@ -129,6 +129,11 @@ def test_bam(spark, tmp_path):
     spark.dataSource.register(bam.BamDataSource)
     df = spark.read.format("bam").option("bam_fields", "qname,chrom,pos,cigar,seq,is_read1,is_reverse").option("tag_whitelist", "XT,NH").load(str(tmp_path / "a.bam"))
     assert [tuple(r) for r in df.collect()] == [("r1", "chr1", 9, "5M", "ACGTN", True, False, "gene", "2"), ("r2", None, -1, "2M", "AC", False, True, None, None)]
+    for name in ("b.bam", "b.bam.bai"):
+        (tmp_path / name).write_bytes(_bgzf(data) if name.endswith("bam") else b"index")
+    for path in (str(tmp_path), f"{tmp_path}/*.bam", f"{tmp_path}/a.bam,{tmp_path}/b.bam"):
+        ids = [r["id"] for r in spark.read.format("bam").option("bam_fields", "id").load(path).collect()]
+        assert sorted(ids) == [0, 1, 1 << bam.ID_BITS, (1 << bam.ID_BITS) + 1]
 
 
 def test_names_and_bundles(spark):

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,29 @@ def test_presets_and_sweeps(spark):
         pipeline.preset("none", reads)
     swept = pipeline.sweep(pipeline.preset("cmi", reads), "directional", "ratio", [1.0, 5.0])
     assert rows(swept, "CB", "ratio", "dedup_cnt") == [("c", 1.0, 2), ("c", 5.0, 3)]
+
+
+def test_fastq_parts_hold_every_record_once(spark, tmp_path):
+    rng = random.Random(2)
+    want = []
+    for name in ("a.fastq", "b.fq.gz"):
+        text = ""
+        for i in range(300):
+            n = rng.randint(1, 40)
+            seq, qual = "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@+I#") for _ in range(n))
+            want.append((f"{name}{i} x", seq, qual))
+            text += f"@{name}{i} x\n{seq}\n+{rng.choice(['', name])}\n{qual}\n"
+        data = text.encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    for split in (97, 1000, 1 << 26):
+        for path in (str(tmp_path), f"{tmp_path}/a.*,{tmp_path}/b.fq.gz", f"file://{tmp_path}"):
+            assert rows(tables.fastq(spark, path, split_bytes=split), "name", "seq", "qual") == sorted(want, key=str)
+    (tmp_path / "c.fastq").write_bytes(b"@x\r\nAC\r\n+\r\nII\r\n\r\n")
+    assert rows(tables.fastq(spark, str(tmp_path / "c.fastq")), "name", "seq", "qual") == [("x", "AC", "II")]
+    (tmp_path / "d.fastq").write_bytes(b"@x\nAC\n+\nII\n@y\nAC\n")
+    with pytest.raises(Exception, match="no complete record"):
+        tables.fastq(spark, str(tmp_path / "d.fastq")).collect()
+    (tmp_path / "e.fastq").write_bytes(b"")
+    assert tables.fastq(spark, str(tmp_path / "e.fastq")).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        tables.fastq(spark, str(tmp_path / "nowhere.fastq")).collect()
