@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import inspect
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -89,15 +92,42 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lean(run: Callable) -> Callable:
-    """A worker's function that first gives back to the system what earlier tasks of the worker have freed."""
+#: Name of the module in which a worker keeps what its next tasks may use.
+KEPT = "_tagmill_kept"
 
-    def start(data):
+
+def kept(name: str, make: Callable):
+    """What this Python worker keeps under ``name`` from task to task, made on first use."""
+    home = vars(sys.modules.setdefault(KEPT, types.ModuleType(KEPT)))
+    if name not in home:
+        home[name] = make()
+    return home[name]
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
+    """A worker's function around which memory that nothing needs goes back to the system.
+
+    What the worker keeps for tasks of another kind than ``keep`` is dropped first.
+    """
+
+    def tidy():
         import pyarrow
 
+        home = vars(sys.modules.get(KEPT, types.ModuleType(KEPT)))
+        for name in [n for n in home if not n.startswith("__") and n != keep]:
+            del home[name]
+        gc.collect()
         pyarrow.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
             trim(0)
-        return run(data)
+
+    def to_the_end(out):
+        yield from out
+        tidy()
+
+    def start(data):
+        tidy()
+        out = run(data)
+        return to_the_end(out) if inspect.isgenerator(out) else out
 
     return start

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import text_batches
+from tagmill.llm.common import lean, text_batches
 
 #: Bits of a bitmap: sixteen a value (one of sixteen others passes), in these bounds (2 and 32 MB at most to the tasks).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
@@ -59,7 +59,7 @@ def split(df: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, Dat
                 has = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 yield batch.filter(pa.array(has == wanted))
 
-        return placed.mapInArrow(run, placed.schema).drop(at_name)
+        return placed.mapInArrow(lean(run), placed.schema).drop(at_name)
 
     return pick(True), pick(False)
 

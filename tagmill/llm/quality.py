@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import text_batches
+from tagmill.llm.common import lean, text_batches
 
 PER_CLASS = 3000
 CLASS_BYTES = 16 << 20
@@ -151,4 +151,4 @@ def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "tex
                 p = np.full(batch.num_rows, model["share"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double")

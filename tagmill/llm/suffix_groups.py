@@ -595,7 +595,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     is_copy = (F.col("id") > F.col("least")) & (F.octet_length("text") >= length)
     joined = moved.join(special, F.col("key") == F.col("k"), "left")
     done = joined.select("doc_id", "text", F.coalesce(is_copy, F.lit(False)).alias("whole"), F.when(F.col("id") == F.col("least"), F.col("spans")).alias("spans"))
-    cut = done.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = done.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
     out = cut.unionByName(rest)
     return out if kept_bytes else out.drop("kept")

@@ -21,8 +21,6 @@ columns are ignored.
 from __future__ import annotations
 
 import json
-import sys
-import types
 import uuid
 import zlib
 from array import array
@@ -32,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import arrow_rows, lean, settle_table, shared_folder
+from tagmill.llm.common import arrow_rows, kept, lean, settle_table, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 17
 #: Bytes of words and their ids that a worker remembers in each of two generations, about.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 40 << 20
 #: Bytes of an entry besides its characters and ids.
 ENTRY_BYTES = 180
 #: Bytes of text a shard has, about.
@@ -117,10 +115,11 @@ class WordCache(dict):
     @staticmethod
     def of_worker(path: str) -> "WordCache":
         """The cache that this Python worker keeps from task to task."""
-        home = sys.modules.setdefault("_tagmill_words", types.ModuleType("_tagmill_words"))
-        if getattr(home, "path", None) != path:
-            home.path, home.words = path, WordCache(path)
-        return home.words
+        held = kept("words", lambda: {})
+        if path not in held:
+            held.clear()
+            held[path] = WordCache(path)
+        return held[path]
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.old.get(chunk)
@@ -195,7 +194,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
             yield close()
 
     with arrow_rows(docs.sparkSession):
-        rows.mapInArrow(lean(encode), BLOCKS).write.parquet(folder)
+        rows.mapInArrow(lean(encode, keep="words"), BLOCKS).write.parquet(folder)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,7 +224,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     # written at once, as only few blocks may be in a batch
     with arrow_rows(spark, 8):
-        return settle_table(blocks.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+        return settle_table(blocks.mapInArrow(lean(check), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def token_ids(spark: SparkSession, folder: str, part: int, start: int, stop: int) -> np.ndarray:
