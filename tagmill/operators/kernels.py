@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from itertools import product
 
@@ -198,7 +199,11 @@ def birch(x: np.ndarray, threshold: float = 1.8, branching: int = 50) -> np.ndar
 
 
 def affinity_propagation(x: np.ndarray, preference: float | None = None, damping: float = 0.5, iterations: int = 200, patience: int = 15) -> np.ndarray:
-    """Labels by message passing on negative squared distances; ties broken by a fixed tiny noise."""
+    """Labels by message passing on negative squared distances; ties broken by a fixed tiny noise.
+
+    Damping, update order, stopping rule and noise are those of the widely used library
+    routine, as labels have to equal its.
+    """
     n = len(x)
     s = -_square_distances(x)
     if n == 1:
@@ -328,20 +333,33 @@ def monomers(umi: str, k: int = 3, mode: str = "vote") -> list[str]:
 
 
 def set_cover(multimers: list[str], k: int = 3, mode: str = "vote") -> list[list[str]]:
-    """Clusters of multimers: greedily the monomer that covers most (over one) uncovered ones; the rest alone."""
-    covers: dict[str, set[str]] = {}
-    for m in multimers:
-        for mono in monomers(m, k, mode):
-            covers.setdefault(mono, set()).add(m)
-    left, out = set(multimers), []
-    while True:
-        best = min(covers, key=lambda mono: (-len(covers[mono]), mono), default=None)
-        if best is None or len(covers[best]) < 2:
+    """Clusters of multimers: greedily the monomer that covers most (over one) uncovered ones; the rest alone.
+
+    Of equals the first by name. How many a monomer still covers is counted down; a heap
+    entry that is out of date goes back with its present number, so nothing is rebuilt.
+    """
+    of = {m: sorted(set(monomers(m, k, mode))) for m in dict.fromkeys(multimers)}
+    covers: dict[str, list[str]] = {}
+    for m, names in of.items():
+        for mono in names:
+            covers.setdefault(mono, []).append(m)
+    size = {mono: len(c) for mono, c in covers.items()}
+    heap = [(-n, mono) for mono, n in size.items()]
+    heapq.heapify(heap)
+    left, out = set(of), []
+    while heap:
+        n, best = heapq.heappop(heap)
+        if size[best] < -n:
+            heapq.heappush(heap, (-size[best], best))
+            continue
+        if -n < 2:
             break
-        taken = covers.pop(best)
-        out.append(sorted(taken))
-        left -= taken
-        covers = {m: rest for m, c in covers.items() if (rest := c - taken)}
+        taken = sorted(m for m in covers[best] if m in left)
+        out.append(taken)
+        left.difference_update(taken)
+        for m in taken:
+            for mono in of[m]:
+                size[mono] -= 1
     return out + [[m] for m in sorted(left)]
 
 
