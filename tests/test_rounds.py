@@ -30,7 +30,7 @@ def test_long_paths(spark, monkeypatch, limit):
     assert {r["node"]: r["rep"] for r in found.collect()} == {n: min(p) for p in paths for n in p}
 
 
-@pytest.mark.parametrize("name", ["b10_marked_reads", "e16_trace_table", "e21_representative_matches", "e7_distance_bins", "j4_trace", "b12_representative_map", "e21_edge_classes", "g4_removed_nodes", "j4_directional", "j5_starsolo", "b1_kept_reads", "e21_edge_shares", "e6_weighted_distance", "j4_directional_count"])
+@pytest.mark.parametrize("name", ["b10_marked_reads", "e16_trace_table", "e21_representative_matches", "e7_distance_bins", "j4_trace", "b12_representative_map", "e21_edge_classes", "g4_removed_nodes", "j4_directional", "j5_starsolo", "b1_kept_reads", "e21_edge_shares", "e6_weighted_distance", "j4_directional_count", "k2_sweep"])
 def test_queries_by_rounds(spark, monkeypatch, name):
     run = entry.queries()[name]
     expected = sorted(map(tuple, run(spark, SF).collect()))
