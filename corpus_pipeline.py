@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import decontaminate, filters, language, mixing, signature_tree
-from tagmill.llm.common import discard, settle, shared_folder, table
+from tagmill.llm.common import discard, release_executors, settle, shared_folder, table
 from tagmill.llm.q_mixing import quality_weights
 from tagmill.llm.q_token_files import write_and_read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language, row by row: ids may be null or repeated."""
+    release_executors(spark)
     model = language.train(language.training_texts(docs))
     name = filters.free_name("row_", docs)
     known = language.identify_documents(docs.withColumn(name, filters.row_key(docs)), model, carry=[name])
@@ -32,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows alike are one document; other rows with a null or repeated id are their own.
     """
+    release_executors(spark)
     odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not odd:
         groups = signature_tree.join(docs.select("doc_id", "text"))
@@ -47,17 +49,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly benchmark go."""
+    release_executors(spark)
     clean = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as mixed, rows repeated for repeated epochs."""
+    release_executors(spark)
     return mixing.apply_mix(docs, quality=quality_weights(spark, sf_dir))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files written and read back: doc_id, start, n_tokens, ids_crc32."""
+    release_executors(spark)
     return write_and_read(spark, docs.select("doc_id", "text"))
 
 
