@@ -13,7 +13,9 @@ can no longer qualify, and these few are resolved to final integer scores. At th
 the lists the partial scores are final. Bounds are taken at the depths of STEPS, from a
 little before the depth where the block before stopped. How far lists are read depends
 on the data: evenly spread directions, as in the supplied table, need about three
-quarters of them; ``Reads`` counts it.
+quarters of them; ``Reads`` counts it. All lists being read to one depth, what is read
+and what is hidden there are one matrix for all queries, and partial scores and bounds are
+products with it.
 
 Queries go in blocks of a fixed number, broadcast in turn against all vectors; a
 partition returns at most k rows a query, and a window keeps the k best. With more than
@@ -41,13 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import shared_folder
+from tagmill.llm.common import one_thread, shared_folder
 
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 2048
 BATCH = 256
 #: Depths at which bounds are taken, as parts of the lists.
 STEPS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 11 / 16, 3 / 4, 13 / 16, 7 / 8, 1.0)
+#: Depths whose state a block keeps.
+STATES = 4
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -59,12 +63,30 @@ def quantized(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
 
 
 class Lists:
-    """Sorted lists of a block: vector numbers and values by rank."""
+    """Sorted lists of a block: values by rank, and the rank of each vector in each list."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, 0).astype(np.float32)
+        self.vectors, self.size = vectors, vectors.shape[1]
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, 0).astype(np.float32)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(vectors))[:, None], 0)
+        self.values = np.tile(vectors.astype(np.float32), 2)
+        self.square = self.values * self.values
+        self.longest = self.square[:, : self.size].sum(axis=1).max()
+        self.states: dict[int, tuple] = {}
+
+    def state(self, depth: int) -> tuple:
+        """At a depth, for both ends of the lists side by side: which lists have not shown a vector, the values read, the squares of those not read.
+
+        The same for all queries, so the last few are kept.
+        """
+        if depth not in self.states:
+            if len(self.states) >= STATES:
+                self.states.pop(next(iter(self.states)))
+            hidden = np.hstack([self.rank < len(self.rank) - depth, self.rank >= depth]).astype(np.float32)
+            self.states[depth] = hidden, self.values * (1 - hidden), self.square * hidden
+        return self.states[depth]
 
 
 class Reads:
@@ -85,37 +107,31 @@ def search_block(lists: Lists, queries: np.ndarray, floor: np.ndarray, k: int, o
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     live, floor, own = np.arange(len(queries)), floor.astype(np.float32), own.T
     q = queries.T.astype(np.float32)  # a row a list
-    score = np.zeros((n, len(queries)), np.float32)  # partial scores, vectors x queries
-    hidden = np.ones((2, n, size), np.float32)  # which lists have not shown a vector, from either end
-    square = (lists.vectors * lists.vectors).astype(np.float32)
-    margin = (size + 16) * 2.4e-7 * np.sqrt((q * q).sum(axis=0) * square.sum(axis=1).max())
+    q = np.vstack([np.maximum(q, 0), np.minimum(q, 0)])  # the part that reads from the upper end, and that from the lower
+    margin = (size + 16) * 2.4e-7 * np.sqrt((q * q).sum(axis=0) * lists.longest)
     at = stopped = 0
     for step, part in enumerate(STEPS):
         depth = n if part == 1 else max(1, int(n * part))
-        for j in range(size):
-            for end, sign, rows in ((0, 1, slice(n - depth, n - at)), (1, -1, slice(at, depth))):
-                weight = np.maximum(q[j] * sign, 0)
-                if rows.start < rows.stop and weight.any():
-                    places, values = lists.order[rows, j], lists.sorted[rows, j, None]
-                    hidden[end, places, j] = 0
-                    score[places] += values * (weight * sign)
         reads.read += (depth - at) * size * len(live)
         at, stopped = depth, step
         if step < reads.first and part < 1:
             continue
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        rest = np.zeros_like(score)
+        hidden, values, square = lists.state(depth)
+        score = values @ q  # partial scores, vectors x queries
+        lower, upper = score - margin, score + margin
         if part < 1:
-            q_rest = hidden[0] @ (up * up) + hidden[1] @ (down * down)
-            v_rest = (hidden[0] * square) @ (q > 0).astype(np.float32) + (hidden[1] * square) @ (q < 0).astype(np.float32)
-            rest = np.sqrt(q_rest * v_rest)
-        front = hidden[0] @ (up * lists.sorted[n - depth][:, None]) + hidden[1] @ (down * lists.sorted[depth - 1][:, None])
-        lower, upper = score - rest - margin, score + np.minimum(rest, front) + margin
-        lower[own] = upper[own] = -np.inf
+            rest = np.sqrt((hidden @ (q * q)) * (square @ (q != 0).astype(np.float32)))
+            front = hidden @ (q * np.concatenate([lists.sorted[n - depth], lists.sorted[depth - 1]])[:, None])
+            lower -= rest
+            upper += np.minimum(rest, front)
+        if own.any():
+            lower[own] = upper[own] = -np.inf
         if n > k:
-            floor = np.maximum(floor, np.partition(np.ascontiguousarray(lower.T), n - k, axis=1)[:, n - k])
+            # a k-th lower bound over the floor needs k of them there
+            raised = np.flatnonzero(np.count_nonzero(lower > floor, axis=0) >= k)
+            floor[raised] = np.partition(np.ascontiguousarray(lower.T[raised]), n - k, axis=1)[:, n - k]
         reach = upper >= floor
-        few = (reach.sum(axis=0) <= max(4 * k, n // 8)) | (part == 1)
+        few = (np.count_nonzero(reach, axis=0) <= max(4 * k, n // 8)) | (part == 1)
         for i in np.flatnonzero(few):
             out[live[i]] = np.flatnonzero(reach[:, i])
             reads.resolved += len(out[live[i]])
@@ -123,7 +139,6 @@ def search_block(lists: Lists, queries: np.ndarray, floor: np.ndarray, k: int, o
             break
         if few.mean() > 0.25:  # carry on with the others only
             live, floor, margin, own, q = live[~few], floor[~few], margin[~few], own[:, ~few], q[:, ~few]
-            score = score[:, ~few]
     reads.first = max(stopped - 1, 0)
     reads.all += n * size * len(queries)
     return out
@@ -154,14 +169,22 @@ def top_k(df: DataFrame, queries: DataFrame, *, k: int = 20, query_block: int =
 
 def _searcher(shared, k: int, vector_block: int):
     def search(batches):
+        with one_thread():
+            yield from found(batches)
+
+    def found(batches):
         best = {d: ([np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int64)] * len(ids)) for d, (ids, _) in shared.value.items()}
         held: dict[int, list] = {}
         reads = Reads()
 
         def take(size: int) -> None:
+            held_ids, vectors = (np.concatenate(x) for x in zip(*held.pop(size), strict=True))
+            pieces = -(-len(held_ids) // vector_block)  # an Arrow batch may hold several blocks
+            for block_ids, block in zip(np.array_split(held_ids, pieces), np.array_split(vectors, pieces), strict=True):
+                take_block(size, block_ids, block)
+
+        def take_block(size: int, own: np.ndarray, vectors: np.ndarray) -> None:
             ids, queries = shared.value[size]
-            own = np.concatenate([x for x, _ in held[size]])
-            vectors = np.concatenate([x for _, x in held.pop(size)])
             if len(queries) and size and np.abs(queries).max() * np.abs(vectors).max() * size >= 2**53:
                 raise ValueError("scores don't fit exact arithmetic")
             scores, names = best[size]
