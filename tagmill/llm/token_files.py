@@ -8,9 +8,11 @@ the shard and, as arrays, the ids and token counts of the documents that start i
 Documents never straddle blocks; a block closes at ``BLOCK_IDS`` ids, so a reader finds
 id t by the block offsets and the bit t * width inside, without reading what is before.
 
-Words are encoded once and remembered where the tokenizer's normaliser, pre-tokenizer and
-model are the known ones (CHUNKED) for which encoding white-space-free chunks apart gives
-the ids of the whole text; with any other tokenizer every text is encoded whole.
+Where the tokenizer's normaliser, pre-tokenizer and model are the known ones (CHUNKED) for
+which encoding white-space-free chunks apart gives the ids of the whole text, texts are
+split in groups of TOGETHER bytes; each distinct chunk of a group is cut into words once,
+words not remembered from groups before go through the tokenizer's merges together, and
+the ids are put in place by number. With any other tokenizer every text is encoded whole.
 
 Defined cases: null text is empty and holds the end id only; a very long text is one
 block of its own, with the memory that takes; documents go by id (nulls
@@ -20,13 +22,17 @@ columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import json
+import os
+import re
 import uuid
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +41,13 @@ from tagmill.llm.common import arrow_rows, kept, lean, settle_table, shared_fold
 END_ID = 2
 BLOCK_IDS = 1 << 17
 #: Bytes of words and their ids that a worker remembers in each of two generations, about.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 12 << 20
 #: Bytes of an entry besides its characters and ids.
 ENTRY_BYTES = 180
+#: New words that are encoded at once.
+WORDS = 1 << 14
+#: Bytes of texts whose chunks are encoded together, about, and chunks whose ids are put in place at once.
+TOGETHER, GATHERED = 8 << 20, 1 << 17
 #: Bytes of text a shard has, about.
 SHARD_BYTES = 32 << 20
 BLOCKS = "part int, block int, first long, n_ids long, width int, doc_ids array<long>, counts array<int>, packed binary"
@@ -100,17 +110,35 @@ def chunked(path: str) -> bool:
     return not added and all(told[k] == v for k, v in CHUNKED.items()) and all(told["model"].get(k) == v for k, v in CHUNKED_MODEL.items())
 
 
+#: Words of chunks below U+0250 in lower case (some have theirs above), as the pattern of CHUNKED finds them there.
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ \n{_LETTERS}{_DIGITS}]+")
+#: Chunks that are encoded whole: "<" may begin an added token, the others may change their form when normalised.
+_OTHER = re.compile("[<\u0130\u0250-\U0010ffff]")
+#: Bytes in the byte-level alphabet; blanks and line ends stay between words.
+_BYTES = "".join(chr(b if chr(b) in " \n" else _ALPHABET.get(b, b)) for b in range(256))
+
+
 class WordCache(dict):
-    """Ids of white-space-free chunks, as little-endian 32-bit bytes, encoded on first sight.
+    """Ids of words, as little-endian 32-bit bytes, encoded on first sight.
 
-    Two generations of chunks are held; a chunk used again moves to the younger one.
+    Two generations of words are held; with the older one its words are forgotten.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.old, self.held = path, Tokenizer.from_file(path), {}, 0
-        self.model, self.chunked = self.tokenizer.model, chunked(path)
+        self.chunked = chunked(path)
+        if self.chunked:
+            with open(path, encoding="utf-8") as file:
+                told = json.load(file)
+            # the same merges, for words given in the byte-level alphabet
+            self.merges = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            vocabulary = told["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # only the last id of a word has the suffix
+            self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @staticmethod
     def of_worker(path: str) -> "WordCache":
@@ -121,41 +149,105 @@ class WordCache(dict):
             held[path] = WordCache(path)
         return held[path]
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.old.get(chunk)
-        if out is None:
-            out = self._new(chunk)
-        cost = ENTRY_BYTES + 2 * len(chunk) + len(out)
-        if self.held + cost > CACHE_BYTES:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        if cost <= CACHE_BYTES // 64:  # a text without blanks is no word to remember
-            self[chunk] = out
-            self.held += cost
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words, and of chunks that go whole."""
+        out = {word: ids for seen in (self, self.old) for word in words & seen.keys() if (ids := seen[word])}
+        new = list(words - out.keys())
+        for at in range(0, len(new), WORDS):
+            part = {word: self.whole(word) for word in new[at : at + WORDS] if _OTHER.search(word)}
+            plain = [word for word in new[at : at + WORDS] if word not in part]
+            part.update(zip(plain, self._merged(plain), strict=True))
+            out |= part
+            cost = sum(map(len, part.values())) + 2 * sum(map(len, part)) + ENTRY_BYTES * len(part)
+            if self.held + cost > CACHE_BYTES:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            if cost <= CACHE_BYTES:  # texts without blanks are no words to remember
+                self.update(part)
+                self.held += cost
         return out
 
-    def _new(self, chunk: str) -> bytes:
-        """Short cuts hold for Latin letters to U+024F, which keep their form when normalised; all else is encoded whole."""
-        if max(chunk) < "\u0250" and "\u0130" not in chunk and "<" not in chunk:
-            if (low := chunk.lower()) != chunk:
-                return self[low]  # the tokenizer lower-cases
-            if chunk.isalpha():  # one word: straight to its merges
-                return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
-            if chunk[-1] in ".,;:!?" and chunk[-2:-1].isalpha():
-                return self[chunk[:-1]] + self[chunk[-1]]  # marks are words of their own
-        return self.whole(chunk)
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words, which the tokenizer neither changes nor splits."""
+        joined = codecs.charmap_decode(" ".join(words).encode(), "strict", _BYTES)[0]
+        ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+        ids = ids.tobytes()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text. The tokenizer drops white space and splits at it, so chunks are encoded apart.
+        """Ids of a whole text."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
-        Python also splits at U+001C to U+001F, which the tokenizer doesn't; such texts are encoded whole.
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts. The tokenizer drops white space and splits at it, so chunks are encoded apart, each once.
+
+        Arrow also splits at U+001C to U+001F, which the tokenizer doesn't; such texts are encoded whole.
         """
-        if not self.chunked or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if not self.chunked:
+            return [self.whole(text) for text in texts.to_pylist()]
+        apart = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        chunks, codes, at = self._split(pc.if_else(apart, "", texts))
+        ids, starts, lengths = self._chunks(chunks)
+        del chunks
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+        found = np.empty(ends[-1], "<u4")
+        for i in range(0, len(codes), GATHERED):
+            code = codes[i : i + GATHERED]
+            n = lengths[code]
+            found[ends[i] : ends[i + len(code)]] = ids[np.repeat(starts[code] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = ends[at].tolist()
+        out = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
+
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct chunks, their numbers in order, and where those of each text begin (and the last end)."""
+        lower = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))  # the tokenizer lower-cases, but for its added tokens
+        split = pc.utf8_split_whitespace(lower)
+        chunks = split.flatten().dictionary_encode()
+        return chunks.dictionary, chunks.indices.to_numpy(), split.offsets.to_numpy()
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks without white space, and where those of each begin and how many there are."""
+        other = pc.match_substring_regex(chunks, _OTHER.pattern)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], pc.if_else(other, "", chunks)), "\n")[0].as_py()
+        lines = _WORD.sub(r"\g<0> ", joined.lower())
+        words, more, other = lines.split(), chunks.filter(other).to_pylist(), other.to_numpy(zero_copy_only=False)
+        known = self.known({*words, *more})
+        found = list(map(known.__getitem__, words + more))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        # words of each line, of which the last has no line end
+        line = np.frombuffer(f"{lines}\n".encode(), np.uint8)
+        first = np.concatenate([[0], np.cumsum(line == ord(" "))[line == ord("\n")]])[: len(chunks) + 1]
+        last = first[1:].copy()
+        first = first[:-1]
+        first[other] = len(words) + np.arange(len(more))
+        last[other] = first[other] + 1
+        return np.frombuffer(b"".join(found), "<u4"), ends[first], ends[last] - ends[first]
+
+
+def _encoded(cache: WordCache, batches):
+    """Part, id and ids of each document of Arrow batches."""
+
+    def encode():
+        part, name, text = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        return zip(part.to_pylist(), name.to_pylist(), cache.encode_all(text), strict=True)
+
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.column(2).nbytes > TOGETHER:
+            yield from encode()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column(2).nbytes
+    if held:
+        yield from encode()
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", vocabulary: int, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
@@ -178,18 +270,16 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
                 ["part", "block", "first", "n_ids", "width", "doc_ids", "counts", "packed"],
             )
 
-        for batch in batches:
-            for p, name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                part = p
-                own = cache.encode(value.as_py()) + end
-                ids.append(own)
-                names.append(name)
-                counts.append(len(own) // 4)
-                held += len(own) // 4
-                if held >= BLOCK_IDS:
-                    yield close()
-                    block, first = block + 1, first + held
-                    ids, names, counts, held = [], [], [], 0
+        for p, name, own in _encoded(cache, batches):
+            part = p
+            ids += own, end
+            names.append(name)
+            counts.append(len(own) // 4 + 1)
+            held += len(own) // 4 + 1
+            if held >= BLOCK_IDS:
+                yield close()
+                block, first = block + 1, first + held
+                ids, names, counts, held = [], [], [], 0
         if names:
             yield close()
 

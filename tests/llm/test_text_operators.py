@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +254,39 @@ def test_word_cache_equals_whole_encoding():
         assert cache.encode(text) == cache.whole(text)
 
 
+def test_words_that_the_cache_cannot_hold_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 1 << 20)
+    rng = random.Random(8)
+    bits = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt"]
+    stems = ["".join(rng.choice(bits) for _ in range(rng.randint(3, 6))) for _ in range(20_000)]
+    text = " ".join(rng.choice(stems) + rng.choice(["", "", "", ",", ".", "***"]) for _ in range(200_000))
+    took, spin = [], []
+    for _ in range(3):
+        cache = token_files.WordCache(tokenizer_path())
+        began = time.process_time()
+        sum(range(1_000_000))
+        spin.append(time.process_time() - began)
+        began = time.process_time()
+        found = cache.encode(text)
+        took.append(time.process_time() - began)
+    assert min(took) < 35 * min(spin), (took, spin)
+    assert found == cache.whole(text)
+
+
+def test_groups_of_texts_equal_whole_encoding(monkeypatch):
+    rng = random.Random(9)
+    odd = [chr(c) for c in range(1, 0x250)] + ["\u0301", "Σ", "ς", "漢", "\u3000", "\u212a", "İ", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "'RE", "'ll", "½"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.3 else rng.choice("abcdeEST.,' \n\t's0") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([3] * 90), pa.array(range(i, i + 90)), pa.array(texts[i : i + 90])], ["part", "doc_id", "text"]) for i in range(0, 1980, 90)]
+    for cache_bytes, together in ((20_000, 1000), (1 << 20, 30_000)):
+        monkeypatch.setattr(token_files, "CACHE_BYTES", cache_bytes)
+        monkeypatch.setattr(token_files, "TOGETHER", together)
+        monkeypatch.setattr(token_files, "GATHERED", 700)
+        cache = token_files.WordCache(tokenizer_path())
+        assert [*token_files._encoded(cache, batches)] == [(3, i, cache.whole(texts[i])) for i in range(1980)]
+    assert cache.encode_all(pa.array(["", " \n"])) == [b"", b""] and cache.encode_all(pa.array([], pa.string())) == []
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
