@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import discard, lean, release, settle, settle_table, text_batches
+from tagmill.llm.common import discard, lean, release, release_executors, settle, settle_table, text_batches
 from tagmill.llm.filters import split
 
 LENGTH = 50
@@ -571,6 +571,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``kept_bytes`` the bytes left) of every row."""
     spark = docs.sparkSession
     text_batches(spark)
+    release_executors(spark)
     rows, texts = _keyed(docs, key, text)
     total = texts.agg(F.sum(F.col("n") * F.col("n_bytes"))).first()[0] or 0
     blocks, groups = max(1, total // block_text), max(1, total // (2 * GROUPS_TEXT))
@@ -579,6 +580,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     told = settle_table(told.groupBy("home").applyInArrow(lean(_by_text), "key long, blocks binary, counts binary, marks binary"))
     del dealt
     release(spark)
+    release_executors(spark)
     # one row a text: its smallest document
     shared, _ = split(rows, "key", told.select("key"))
     firsts = shared.join(told.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).join(texts.select(F.col("key").alias("k2"), "least"), F.col("key") == F.col("k2")).where("id = least")
@@ -591,6 +593,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     del shared, firsts, found, spans
     discard(spark, told)
     release(spark)
+    release_executors(spark)
     moved, rest = split(rows, "key", special.select("k"))
     is_copy = (F.col("id") > F.col("least")) & (F.octet_length("text") >= length)
     joined = moved.join(special, F.col("key") == F.col("k"), "left")
